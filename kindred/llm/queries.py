@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpeg_audio, prefix_tokens
+from . import mpeg_audio, prefix_tokens, quality_cascade
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
@@ -30,6 +30,40 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.with_media_info(stored, carry=("n_bytes",)).select(*columns)
 
 
+def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.judge(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as t,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[ \t\n\x0B\f\r]+', '', 'g') <> '') as ls
+  from documents),
+win as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
+        from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w) q),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from win) q where c > 1),
+cov as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from rep) q group by doc_id),
+m as (
+  select w.doc_id, t, cast(len(ws) as bigint) as n_words,
+         cast(length(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g')) as bigint) as word_chars,
+         cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+         cast(coalesce(cov.n, 0) as bigint) as n_repeat_words,
+         length(regexp_replace(t, '[^\p{L}]+', '', 'g')) as letters,
+         length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as upper_letters,
+         length(t) - length(regexp_replace(t, '[!?]', '', 'g')) as shouts,
+         len(string_split(t, chr(10))) as n_lines
+  from w left join cov on w.doc_id = cov.doc_id),
+b as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or n_symbols * 10 > n_words * 3 or word_chars < n_words * 2 or word_chars > n_words * 20
+            or n_dup_lines * 2 > n_lines or shouts * 4 > n_words or letters * 10 < word_chars * 6
+            or upper_letters * 2 > letters) as kept
+from b
+"""
+
+
 def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_tokens.with_prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path())
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -37,6 +71,7 @@ def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
+    "op2_quality_cascade": op2_quality_cascade,
     "op3_prefix_tokens": op3_prefix_tokens,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": OP2_SQL}
