@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpeg_audio, prefix_tokens, quality_cascade
+from . import html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, url_filter
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
@@ -69,9 +69,32 @@ def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.with_text(table(spark, sf_dir, "pages"))
+
+
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = pu_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = pu_quality.score(docs, scorer)
+    return scored.select(
+        "doc_id",
+        (pu_quality.fold("doc_id") == pu_quality.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= pu_quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_quality_cascade": op2_quality_cascade,
     "op3_prefix_tokens": op3_prefix_tokens,
+    "op8_url_filter": op8_url_filter,
+    "op9_html_tree": op9_html_tree,
+    "op10_pu_quality": op10_pu_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": OP2_SQL, "op8_url_filter": url_filter.sql()}
