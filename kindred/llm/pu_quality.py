@@ -75,15 +75,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 2000, rate: float = 0.03, decay: float = 0.0, seed: int = 7) -> Scorer:
-    """Minimise the non-negative risk by Adam steps over random batches (fixed seed), the rate falling to 0."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 2000, rate: float = 0.03, decay: float = 1e-3, seed: int = 7) -> Scorer:
+    """Minimise the non-negative risk by Adam steps over random batches (fixed seed); the weights of the second half are averaged."""
     both = np.r_[positive, unlabelled]
     mean, scale = both.mean(0), both.std(0) + 1e-2
     p = np.clip((positive - mean) / scale, -8, 8)
     u = np.clip((unlabelled - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
     w = np.zeros(both.shape[1] + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, total = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         a = p[rng.integers(0, len(p), 1024)]
         b = u[rng.integers(0, len(u), 1024)]
@@ -96,7 +96,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
         grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
-        w -= rate * (1 - (step - 1) / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step > rounds // 2:
+            total += w
+    w = total / (rounds - rounds // 2)
     return Scorer(mean, scale, w[:-1], float(w[-1]))
 
 
