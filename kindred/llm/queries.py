@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, url_filter
+from . import block_mix, html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, url_filter
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
@@ -69,6 +69,14 @@ def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plan = block_mix.mix(docs)
+    if plan is None:
+        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long")
+    return block_mix.taken(plan).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_quality_cascade": op2_quality_cascade,
     "op3_prefix_tokens": op3_prefix_tokens,
+    "op4_block_mix": op4_block_mix,
     "op8_url_filter": op8_url_filter,
     "op9_html_tree": op9_html_tree,
     "op10_pu_quality": op10_pu_quality,
