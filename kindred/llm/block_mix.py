@@ -20,15 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, only
+from .common import WORD, materialise, only, starts
 
 BLOCK, SHARD = 64, 4096
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-#: Rows of one bucket of a distributed running sum, about.
-BUCKET_ROWS = 2000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -70,19 +68,6 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def starts(df: DataFrame, group: str, order: list[Column], size: str, rows: int) -> DataFrame:
-    """``df`` with ``start``: the running sum of ``size`` before each row of its group, in order of buckets and within
-    them of ``order``. Two levels, so that a group of any size is spread over many tasks."""
-    buckets = max(1, rows // BUCKET_ROWS)
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    base = df.groupBy(group, "_b").agg(F.sum(size).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_own", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    return df.join(base, [group, "_b"]).withColumn("start", F.col("_base") + F.col("_own")).drop("_b", "_base", "_own")
-
-
 @dataclass
 class Mix:
     """``rows``: (id, key, source, size, source_no, source_size, target, start) of every document; ``slots``: (shard,

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Regular expression of a word: a run of characters other than space and U+0009 to U+000D.
@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one slice of an Arrow batch holds at most (a longer single text stands alone).
 SLICE_BYTES = 8 << 20
 
+#: Rows of one bucket of a distributed running sum, about.
+BUCKET_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
@@ -65,3 +68,16 @@ def utf8(column: pa.Array) -> list[bytes]:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns cannot clash with those that an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def starts(df: DataFrame, group: str, order: list[Column], size: str, rows: int, name: str = "start") -> DataFrame:
+    """``df`` with the column ``name``: the running sum of ``size`` before each row of its group, in order of buckets and within
+    them of ``order``. Two levels, so that a group of any size is spread over many tasks."""
+    buckets = max(1, rows // BUCKET_ROWS)
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    base = df.groupBy(group, "_b").agg(F.sum(size).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_own", F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    return df.join(base, [group, "_b"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_b", "_base", "_own")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_mix, html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, url_filter
+from . import binpack, block_mix, html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, simple8b, url_filter
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
@@ -77,6 +77,14 @@ def op4_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_mix.taken(plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+def op7_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -102,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_cascade": op2_quality_cascade,
     "op3_prefix_tokens": op3_prefix_tokens,
     "op4_block_mix": op4_block_mix,
+    "op5_simple8b": op5_simple8b,
+    "op7_binpack": op7_binpack,
     "op8_url_filter": op8_url_filter,
     "op9_html_tree": op9_html_tree,
     "op10_pu_quality": op10_pu_quality,
