@@ -28,8 +28,8 @@ from .common import materialise, only, slices, starts, utf8
 from .wordbpe import word_bpe
 
 LIMIT = 2048
-#: Share of the limit above which a piece is large, and number of groups of large pieces.
-LARGE, GROUPS = 0.2, 40
+#: Shares of the limit above which a piece is large, each with a number of groups; the plan of fewest sequences counts.
+GROUPINGS = ((1 / 3, 100), (0.4, 80), (0.5, 80))
 SLICE = 2 << 20
 
 #: (length, first rank, sequences, pieces of it in each, first sequence, offset there)
@@ -147,8 +147,12 @@ class _Planner:
                 self.leave(first + whole, bins - whole, room)
 
 
-def plan(counts: dict[int, int], limit: int = LIMIT, large: float = LARGE, n_groups: int = GROUPS) -> tuple[list[Run], int]:
+def plan(counts: dict[int, int], limit: int = LIMIT, groupings: tuple[tuple[float, int], ...] = GROUPINGS) -> tuple[list[Run], int]:
     """(runs that place every piece, number of sequences) for so many pieces of each length from 1 to ``limit``."""
+    return min((_plan(counts, limit, large, n) for large, n in groupings), key=lambda x: x[1])
+
+
+def _plan(counts: dict[int, int], limit: int, large: float, n_groups: int) -> tuple[list[Run], int]:
     p = _Planner(limit)
     left = {k: n for k, n in counts.items() if n}
     if limit in left:  # a whole sequence each
