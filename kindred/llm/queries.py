@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, block_mix, html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, simple8b, url_filter
+from . import binpack, block_mix, html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, rtree_join, simple8b, url_filter
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
@@ -81,6 +81,10 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op6_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_prefix_tokens": op3_prefix_tokens,
     "op4_block_mix": op4_block_mix,
     "op5_simple8b": op5_simple8b,
+    "op6_rtree_join": op6_rtree_join,
     "op7_binpack": op7_binpack,
     "op8_url_filter": op8_url_filter,
     "op9_html_tree": op9_html_tree,
