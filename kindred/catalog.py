@@ -716,11 +716,11 @@ def plink_roundtrip(s, d):
     g = V.genotypes(s, d).filter("chrom_idx <= 2").select(F.col("fam").cast("string").alias("fam"), F.col("id").cast("string").alias("id"), (F.col("chrom_idx") - 1).alias("chrom_idx"), "marker_idx", "a0", "a1")
     prefix = _folder(s)
     pedigrees.ped_lines(_text_people(s, d), g, m).write.text(prefix + ".ped")
-    pedigrees.map_lines(m).coalesce(1).write.text(prefix + ".map")
+    pedigrees.map_lines(m).write.text(prefix + ".map")
     return pedigrees.read_plink(s, prefix=prefix)[2].filter("a0 is not null and a1 is not null")
 
 
-@query("pedigree_roundtrip", V.sql("select cast(fam as varchar) as fam, cast(id as varchar) as id, cast(father as varchar) as father, cast(mother as varchar) as mother, sex from individuals", "individuals"))
+@query("pedigree_roundtrip", V.sql("select cast(fam as varchar) as fam, cast(id as varchar) as id, cast(nullif(father, 0) as varchar) as father, cast(mother as varchar) as mother, sex from individuals", "individuals"))
 def pedigree_roundtrip(s, d):
     people = V.individuals(s, d)
     path = _folder(s) + ".pedigrees"

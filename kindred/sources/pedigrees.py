@@ -123,7 +123,8 @@ def map_lines(markers: DataFrame, chromosomes: list[int] | None = None) -> DataF
     chrom = F.coalesce(F.col("chrom"), (F.col("chrom_idx") + 1).cast("string"))
     label = F.coalesce("label", F.concat(F.lit("SNP"), chrom, F.lit("-"), F.col("marker_idx").cast("string")))
     bp = F.coalesce("bp", (F.col("cm") * 10e6).cast("long"))
-    return used.orderBy("chrom_idx", "marker_idx").select(F.concat_ws("\t", chrom, label, F.col("cm").cast("string"), bp.cast("string")).alias("value"))
+    # a map is one small file whose line order counts
+    return used.coalesce(1).sortWithinPartitions("chrom_idx", "marker_idx").select(F.concat_ws("\t", chrom, label, F.col("cm").cast("string"), bp.cast("string")).alias("value"))
 
 
 def write_plink(individuals: DataFrame, genotypes: DataFrame, markers: DataFrame, prefix: str, predicate=None, mapfile: bool = False, compression: str | None = None, chromosomes: list[int] | None = None) -> None:

@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "line", "value"])
 
         return raw.mapInArrow(unpack, "file string, line long, value string")
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\\r?\\n$", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\\r?\\n$", "").alias("value"))
     return whole.select("file", F.posexplode(F.split("value", "\\r?\\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long"))
 
 
