@@ -6,15 +6,16 @@ a <= b link only if at most k = (a + b) (1 - t) / (1 + t) shingles are in one of
 at least e + 1 hold the same shingles in both. The digest of a group's shingles is a key; sets that share a key are
 candidates. Groups of one shingle or none are weak (a common line would join strangers): a set with at most e weak
 groups leaves them out, which keeps one common key for every pair that may link. Sizes fall in classes that grow by
-``STEP``; a set also takes part in classes above its own that hold a larger partner within reach. Candidates spread
-over keys into clusters (connected components).
+``STEP``; a set also takes part in classes above its own that hold a larger partner within reach.
 
-In each cluster the shingles are hashed into ``GROUPS`` coordinates; the group counts of a set are its point in an
-R-tree. A node's largest counts bound the overlap of a set with anything below it: the sum over coordinates of the
-smaller count. Nodes and points whose bound is below the overlap that the threshold asks for are passed over; pairs
-that survive are verified on the shingles. Pairs that verified links already connect need no test, so a cluster gives
-a spanning forest of its links, never all pairs. Clusters beyond ``CHUNK_SETS`` sets are cut into chunks, and each pair
-of chunks is a task of bounded size of its own.
+The shingles of a set are also hashed into ``GROUPS`` coordinates; the group counts are its point. The sets under one
+key (a block; keys with the same sets make one block) form an R-tree of points. A node's largest counts bound the
+overlap of a set with anything below it: the sum over coordinates of the smaller count. Nodes and points whose bound
+is below the overlap that the threshold asks for are passed over. Pairs that survive join their sets to clusters
+(connected components over all blocks). In a cluster the surviving pairs are verified on the shingles. Pairs that are
+connected already need no test, so blocks and clusters give spanning forests, never all pairs. Blocks beyond
+``BLOCK_SETS`` and clusters beyond ``CHUNK_SETS`` sets are cut into chunks, and each pair of chunks is a task of
+bounded size of its own.
 
 Exact copies are one set throughout. Defined results: A-Z are lower-cased; a null or wordless text has no shingles,
 size 0, links with nothing and is its own component; fewer words than a shingle has make one shingle of all words;
@@ -37,7 +38,9 @@ from .components import components
 from .wordbpe import _LOWER, hashes
 
 #: Growth of size classes; coordinates of a point; sets and shingles of a chunk; points of a leaf, leaves of a node.
-STEP, GROUPS, CHUNK_SETS, CHUNK_SHINGLES, LEAF, FANOUT = 1.35, 128, 1500, 1_000_000, 32, 8
+STEP, GROUPS, CHUNK_SETS, CHUNK_SHINGLES, LEAF, FANOUT = 1.35, 128, 2500, 2_000_000, 32, 8
+#: Sets of a chunk of a block of one key (their points only); bits of the fixed bitmap of texts to fetch.
+BLOCK_SETS, BITS = 8000, 1 << 22
 #: Sets that a task remembers in order to send the keys of copies once.
 REMEMBERED = 500_000
 _BLANK = np.zeros(256, bool)
@@ -132,6 +135,15 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(owner * GROUPS + place, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS).astype(np.int32)
 
 
+def pack_point(p: np.ndarray) -> bytes:
+    """A point in one byte for each coordinate, or two where a count needs them."""
+    return p.astype(np.uint8).tobytes() if p.max(initial=0) < 256 else p.astype("<u2").tobytes()
+
+
+def unpack_points(packed: list[bytes]) -> np.ndarray:
+    return np.array([np.frombuffer(b, np.uint8 if len(b) == GROUPS else "<u2") for b in packed], np.int32)
+
+
 class RTree:
     """Points in leaves of near ones (cut at the median of the widest coordinate), leaves in inner nodes."""
 
@@ -202,6 +214,60 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def near_pairs(at: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bound reaches the threshold; sides as in :func:`links`."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not len(right)
+    other = left if within else right
+    forest, out = Forest(len(at)), []
+    for x, y in RTree(at[other], sizes[other]).near(at[left], sizes[left], num, den):
+        for i, j in zip(left[x].tolist(), other[y].tolist(), strict=True):
+            if not within or i < j:
+                p, q = forest.find(i), forest.find(j)
+                if p != q:
+                    forest.up[max(p, q)] = min(p, q)
+                    out.append((i, j))
+    return out
+
+
+def tiles(df: DataFrame, keys: list[str], chunks: str, carried: list[str]) -> DataFrame:
+    """A row for each pair of chunks (i <= j) that a row's chunk is in, dealt out and sorted by keys and pair."""
+    other = F.explode(F.sequence(F.lit(0), F.col(chunks) - 1)).alias("other")
+    chunk = F.pmod(F.xxhash64("node"), F.col(chunks)).cast("int")
+    out = df.select(*keys, *carried, chunk.alias("chunk"), other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    out = out.select(*keys, "i", "j", (F.col("chunk") == F.col("i")).alias("is_i"), *carried)
+    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_carried: int) -> Iterator[tuple[bool, dict[int, tuple]]]:
+    """(whether all pairs count, node to (is_i, carried values)) of each group of :func:`tiles` with one key column and
+    ``node`` first among the carried ones; one group is held at a time."""
+    at: tuple | None = None
+    group: dict[int, tuple] = {}
+    for b in batches:
+        columns = [b.column(k).to_pylist() for k in range(4 + n_carried)]
+        for key, i, j, is_i, node, *rest in zip(*columns, strict=True):
+            if (key, i, j) != at:
+                if len(group) > 1:
+                    yield at[1] == at[2], group
+                at, group = (key, i, j), {}
+            if node not in group:
+                group[node] = (is_i, *rest)
+    if len(group) > 1:
+        yield at[1] == at[2], group
+
+
+def pairs_out(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes in batches."""
+    held: list[tuple[int, int]] = []
+    for pairs in found:
+        held += pairs
+        if len(held) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.array([y for _, y in held], pa.int64())], names=["a", "b"])
+            held = []
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.array([y for _, y in held], pa.int64())], names=["a", "b"])
+
+
 def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets; ``side`` 0 and 1: only pairs from both sides (all 0: all pairs)."""
     left = np.flatnonzero(side == 0)
@@ -241,10 +307,10 @@ def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: st
         for b in slices(batches, "_text", 2 << 20):
             sets = shingle_sets(utf8(b.column(2)), k, salt)
             named = [digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array(map(len, sets), pa.int64())], names=["_id", "text_key", "node", "check", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([pack_point(p) for p in points(sets)], pa.binary())], names=["_id", "text_key", "node", "check", "n_shingles", "point"])
 
-    rows = materialise(docs.mapInArrow(size_up, f"_id {kind}, text_key long, node long, check long, n_shingles long"), "sets")
-    sets = rows.filter("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min(F.struct("text_key", "_id")).alias("of"), F.first("n_shingles").alias("n"))
+    rows = materialise(docs.mapInArrow(size_up, f"_id {kind}, text_key long, node long, check long, n_shingles long, point binary"), "sets")
+    sets = rows.filter("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min(F.struct("text_key", "_id")).alias("of"), F.min("n_shingles").alias("n"), F.min("point").alias("point"))
     sets = materialise(sets, "nodes")
     if sets.filter("lo <> hi").head(1):  # two sets under one number: hash again
         return classes(df, k, num, den, id_col, text_col, salt + 1)
@@ -266,61 +332,68 @@ def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: st
             nodes = np.repeat(np.array(own, np.int64), [len(f) for f in found]) if own else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
+    # keys of two sets or more; the same members under several keys are one block
     keyed = docs.select("_text").mapInArrow(send_keys, "key long, node long")
-    first = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    stars = keyed.withColumn("a", first).filter("a < node").select("a", F.col("node").alias("b")).distinct()
-    clusters = materialise(components(stars), "clusters")
+    inside = Window.partitionBy("key").orderBy("node")
+    once = keyed.withColumn("_dup", F.lag("node").over(inside).eqNullSafe(F.col("node"))).filter(~F.col("_dup")).drop("_dup")
+    whole = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = once.withColumns({"size": F.count("*").over(whole), "_x": F.sum(F.xxhash64("node").bitwiseAND((1 << 40) - 1)).over(whole), "_y": F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND((1 << 40) - 1)).over(whole)})
+    shared = materialise(shared.filter("size > 1"), "shared")
+    blocks = shared.groupBy("size", "_x", "_y").agg(F.min("key").alias("key"))
+    member = shared.join(blocks.select("key"), "key").select("key", "node", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("chunks"))
+    pointed = member.join(sets.select("node", "n", "point"), "node")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[list[tuple[int, int]]]:
+            for within, group in grouped(batches, 3):
+                nodes = list(group)
+                side = np.array([0 if within or group[x][0] else 1 for x in nodes])
+                at, sizes = unpack_points([group[x][2] for x in nodes]), np.array([group[x][1] for x in nodes])
+                yield [(nodes[i], nodes[j]) for i, j in near_pairs(at, sizes, side, num, den)]
+
+        return pairs_out(found())
+
+    near = tiles(pointed, ["key"], "chunks", ["node", "n", "point"]).mapInArrow(bound, "a long, b long").distinct()
+    clusters = materialise(components(near), "clusters")
 
     # clusters of any size in chunks of bounded size, and a task for each pair of chunks
-    member = clusters.join(sets.select("node", "of", "n"), "node").select("node", F.col("label").alias("cluster"), "n", F.col("of.text_key").alias("_key"), F.col("of._id").alias("_of"))
-    member = materialise(member, "members")
+    joined = clusters.join(sets.select("node", "of", "n"), "node").select("node", F.col("label").alias("cluster"), "n", F.col("of.text_key").alias("_key"), F.col("of._id").alias("_of"))
+    joined = materialise(joined, "members")
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    size = member.groupBy("cluster").agg(chunks.alias("chunks"))
-    member = member.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # one text of each set: a copy of it may come with it, and falls out below
-    texts = docs.join(member, (F.col("text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_of")))
+    joined = joined.join(joined.groupBy("cluster").agg(chunks.alias("chunks")), "cluster")
+    # a bitmap of fixed size lets most other texts go before the join; what it lets through by chance the join drops
+    bit = [F.col("_key").bitwiseAND(BITS - 1), F.shiftrightunsigned("_key", 24).bitwiseAND(BITS - 1)]
+    placed = joined.select(F.explode(F.array(*bit)).alias("p")).groupBy(F.shiftrightunsigned("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("v"))
+    bitmap = np.zeros(BITS // 32, np.uint32)
+    for r in placed.collect():  # at most BITS / 32 rows
+        bitmap[r["w"]] = r["v"]
 
     def hash_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 2 << 20):
-            found = [s.tobytes() for s in shingle_sets(utf8(b.column(4)), k, salt)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.binary())], names=["cluster", "node", "chunk", "chunks", "shingles"])
-
-    held = texts.select("cluster", "node", "chunk", "chunks", "_text").mapInArrow(hash_again, "cluster long, node long, chunk int, chunks int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    paired = held.select("cluster", "node", "chunk", "shingles", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    paired = paired.select("cluster", "i", "j", (F.col("chunk") == F.col("i")).alias("is_i"), "node", "shingles")
-    dealt = paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[int, tuple[bool, np.ndarray]] = {}
-        at: tuple[int, int, int] | None = None
-        out: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            if at is not None and len(group) > 1:
+        for b in batches:
+            key = b.column(1).to_numpy().view(np.uint64)
+            ok = np.ones(len(key), bool)
+            for p in (key & _U(BITS - 1), key >> _U(24) & _U(BITS - 1)):
+                ok &= (bitmap[(p >> _U(5)).astype(np.int64)] >> (p & _U(31)).astype(np.uint32) & 1).astype(bool)
+            for part in slices([b.filter(pa.array(ok))], "_text", 2 << 20):
+                found = [s.tobytes() for s in shingle_sets(utf8(part.column(2)), k, salt)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["_id", "text_key", "shingles"])
+
+    # one text of each set; a copy may come with it and falls out in the task
+    held = docs.mapInArrow(hash_again, f"_id {kind}, text_key long, shingles binary")
+    held = held.join(joined, (F.col("text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_of")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[list[tuple[int, int]]]:
+            for within, group in grouped(batches, 2):
                 nodes = list(group)
-                side = np.zeros(len(nodes), int) if at[1] == at[2] else np.array([0 if group[x][0] else 1 for x in nodes])
-                out.extend((nodes[x], nodes[y]) for x, y in links([group[x][1] for x in nodes], side, num, den))
-            group.clear()
+                side = np.array([0 if within or group[x][0] else 1 for x in nodes])
+                own = [np.frombuffer(group[x][1], np.uint64) for x in nodes]
+                yield [(nodes[i], nodes[j]) for i, j in links(own, side, num, den)]
 
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-            out.clear()
-            return made
+        return pairs_out(found())
 
-        for b in batches:
-            for c, i, j, is_i, node, s in zip(*(b.column(n).to_pylist() for n in range(5)), b.column(5), strict=True):
-                if (c, i, j) != at:
-                    flush()
-                    at = (c, i, j)
-                if node not in group:
-                    group[node] = (is_i, np.frombuffer(s.as_py(), np.uint64))
-            if len(out) > 10_000:
-                yield batch()
-        flush()
-        yield batch()
-
-    linked = components(dealt.mapInArrow(join, "a long, b long"))
+    dealt = tiles(held, ["cluster"], "chunks", ["node", "shingles"]).mapInArrow(verify, "a long, b long")
+    linked = components(dealt)
     labelled = rows.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("_id").alias("least"))
     out = labelled.join(least, "label", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least")))
