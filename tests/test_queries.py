@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from kindred.catalog import ORACLE_SQL, QUERIES
@@ -14,8 +15,10 @@ def normal(frame):
     frame = frame[sorted(frame.columns)]
 
     def one(v):
-        if v is None or isinstance(v, float) and np.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, (float, np.floating)) and np.isnan(v):
             return None
+        if isinstance(v, (float, np.floating)) and float(v).is_integer():
+            return str(int(v))  # pandas makes whole numbers with nulls floats
         if isinstance(v, (bool, np.bool_)):
             return str(int(v))
         if isinstance(v, (float, np.floating)):
