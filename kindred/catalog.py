@@ -748,11 +748,11 @@ def germline_roundtrip(s, d):
 from (select o_orderkey, c as o_custkey, rk - 1 as k, h from (select o_orderkey, row_number() over (order by o_orderkey) as rk from orders where o_orderkey < 200) a, (select unnest([0, 1, 2]) as c) b, (select unnest([0, 1]) as h) e) q
 where (o_orderkey + h) % 4 = 0 or (o_orderkey + h) % 3 <> 0""")
 def vcf_scan(s, d):
-    orders = V.load(s, d, "orders").filter("o_orderkey < 200")
+    orders = V.load(s, d, "orders")
     code = lambda h: F.when((F.col("o_orderkey") + h) % 4 == 0, ".").otherwise(((F.col("o_orderkey") + h) % 3).cast("string"))
     gt = F.concat(code(0), F.lit("|"), code(1), F.lit(":9"))
     line = F.concat_ws("\t", F.lit("1"), (F.col("o_orderkey") + 1).cast("string"), F.lit("."), F.lit("A"), F.lit("C,G"), F.lit("50"), F.lit("PASS"), F.lit("AF=0.5,0.1;DB"), F.lit("GT:DP"), gt, gt, gt)
     header = s.createDataFrame([("##fileformat=VCFv4.0", -2), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS0\tS1\tS2", -1)], "value string, k long")
     path = _folder(s) + ".vcf"
-    header.unionByName(orders.select(line.alias("value"), F.col("o_orderkey").alias("k"))).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    header.unionByName(orders.select(line.alias("value"), F.col("o_orderkey").alias("k"))).orderBy("k").select("value").write.text(path)
     return variants.read_vcf(s, path, frequency_key="AF")[2].select("id", "marker_idx", F.col("hap").cast("int").alias("hap"), "allele")

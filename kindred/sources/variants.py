@@ -22,28 +22,28 @@ def info_frequency(info: Column, key: str) -> Column:
 
 
 def read_vcf_records(spark: SparkSession, path: str, require_pass: bool = False) -> DataFrame:
-    """(chrom, bp, label, ref, alts, qual, pass, info, format, samples, line)"""
-    lines = read_lines(spark, path).filter(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).select("line", fields().alias("f"))
+    """(chrom, bp, label, ref, alts, qual, pass, info, format, samples, file, line)"""
+    lines = read_lines(spark, path).filter(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).select("file", "line", fields().alias("f"))
     f = F.col("f")
     info = F.transform(F.split(f[7], ";"), lambda e: F.struct(F.split(e, "=")[0].alias("k"), F.coalesce(F.get(F.split(e, "=", 2), F.lit(1)), F.lit("True")).alias("v")))
     out = lines.select(
         f[0].alias("chrom"), f[1].cast("long").alias("bp"), f[2].alias("label"), f[3].alias("ref"),
         F.filter(F.split(f[4], ","), lambda a: a != ".").alias("alts"), f[5].try_cast("double").alias("qual"), (f[6] == "PASS").alias("pass"),
-        F.map_from_entries(info).alias("info"), F.split(f[8], ":").alias("format"), F.slice(f, 10, F.size(f)).alias("samples"), "line",
+        F.map_from_entries(info).alias("info"), F.split(f[8], ":").alias("format"), F.slice(f, 10, F.size(f)).alias("samples"), "file", "line",
     )
     return out.filter("pass") if require_pass else out
 
 
 def read_vcf(spark: SparkSession, path: str, require_pass: bool = False, frequency_key: str | None = None) -> tuple[list[str], DataFrame, DataFrame]:
     """(sample ids, markers, calls): calls that are the reference are left out, missing ones are NULL, a haploid call
-    is one row."""
-    ids = _ids(read_lines(spark, path).filter("value like '#%'"))
-    w = Window.partitionBy(F.lit(0)).orderBy("line")
+    is one row. The parts of a folder are one file in order of name."""
+    ids = _ids(rows(spark, path))
+    w = Window.partitionBy(F.lit(0)).orderBy("file", "line")
     records = read_vcf_records(spark, path, require_pass)
     # positions of records in their file: one light row for each marker
-    numbered = records.select("line", "chrom").withColumn("_new", F.when(F.lag("chrom").over(w).eqNullSafe(F.col("chrom")), 0).otherwise(1)).withColumn("chrom_idx", (F.sum("_new").over(w) - 1).cast("int"))
-    numbered = numbered.withColumn("marker_idx", (F.row_number().over(Window.partitionBy("chrom_idx").orderBy("line")) - 1).cast("int")).select("line", "chrom_idx", "marker_idx")
-    placed = records.join(numbered, "line")
+    numbered = records.select("file", "line", "chrom").withColumn("_new", F.when(F.lag("chrom").over(w).eqNullSafe(F.col("chrom")), 0).otherwise(1)).withColumn("chrom_idx", (F.sum("_new").over(w) - 1).cast("int"))
+    numbered = numbered.withColumn("marker_idx", (F.row_number().over(Window.partitionBy("chrom_idx").orderBy("file", "line")) - 1).cast("int")).select("file", "line", "chrom_idx", "marker_idx")
+    placed = records.join(numbered, ["file", "line"])
     maf = info_frequency(F.col("info"), frequency_key) if frequency_key else F.lit(None).cast("double")
     markers = placed.select("chrom_idx", "chrom", "marker_idx", "label", F.lit(None).cast("double").alias("cm"), "bp", maf.alias("maf"), "ref", "alts")
     gt = F.array_position("format", "GT").cast("int")
