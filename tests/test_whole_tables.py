@@ -4,10 +4,12 @@ import pytest
 from test_queries import DATA, duck, normal  # noqa: F401
 
 from kindred.catalog import ORACLE_SQL, QUERIES
+from kindred.operators import sgs
 from kindred.sources import text
 
 #: The cuts in the SQL of each query.
 CUTS = {
+    "range_join_ibd_state": [" where p_partkey % 40 = 0"],
     "vcf_scan": [" where o_orderkey < 200"],
 }
 
@@ -37,3 +39,15 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == [("a", k, v) for k, v in enumerate(lines)] + [("b", k, v) for k, v in enumerate(lines[::-1])]
+
+
+def test_states_of_overlapping_segments(spark):
+    segments = [(1, 2, 0, 0, 1500), (1, 2, 0, 1000, 2100), (1, 2, 0, 1000, 1000), (1, 3, 0, 1024, 1024), (1, 2, 1, 5, 6)]
+    loci = [(0, p) for p in (0, 999, 1000, 1024, 1500, 1501, 2100, 2101)] + [(1, 6), (1, 7), (0, 1000)]
+    got = sgs.ibd_state(spark.createDataFrame(loci, "chrom int, pos long"), spark.createDataFrame(segments, "id1 long, id2 long, chrom int, start long, stop long"), ["chrom"])
+    want = {}
+    for c, p in set(loci):
+        for i, j, k, a, b in segments:
+            if c == k and a <= p <= b:
+                want[i, j, c, p] = want.get((i, j, c, p), 0) + 1
+    assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in want.items())
