@@ -711,9 +711,10 @@ def _text_people(s, d):
 @query("plink_roundtrip", V.sql("""select cast(g.fam as varchar) as fam, cast(g.id as varchar) as id, chrom_idx - 1 as chrom_idx, marker_idx, cast(a0 as varchar) as a0, cast(a1 as varchar) as a1
 from genotypes g join customer on c_custkey = g.id where chrom_idx <= 2 and a0 is not null""", "genotypes"))
 def plink_roundtrip(s, d):
-    m = s.range(2 * V.LOCI).select(F.floor(F.col("id") / V.LOCI).cast("int").alias("chrom_idx"), (F.col("id") % V.LOCI).cast("int").alias("marker_idx"), (F.col("id") % V.LOCI).cast("double").alias("cm"))
+    typed = V.genotypes(s, d)
+    m = s.range((typed.agg(F.max("chrom_idx")).first()[0] or 0) * V.LOCI).select(F.floor(F.col("id") / V.LOCI).cast("int").alias("chrom_idx"), (F.col("id") % V.LOCI).cast("int").alias("marker_idx"), (F.col("id") % V.LOCI).cast("double").alias("cm"))
     m = m.select("*", ((F.col("marker_idx") + 1) * 1000).cast("long").alias("bp"), (F.col("chrom_idx") + 1).cast("string").alias("chrom"), F.concat_ws("-", F.lit("rs"), "chrom_idx", "marker_idx").alias("label"))
-    g = V.genotypes(s, d).filter("chrom_idx <= 2").select(F.col("fam").cast("string").alias("fam"), F.col("id").cast("string").alias("id"), (F.col("chrom_idx") - 1).alias("chrom_idx"), "marker_idx", "a0", "a1")
+    g = typed.select(F.col("fam").cast("string").alias("fam"), F.col("id").cast("string").alias("id"), (F.col("chrom_idx") - 1).alias("chrom_idx"), "marker_idx", "a0", "a1")
     prefix = _folder(s)
     pedigrees.ped_lines(_text_people(s, d), g, m).write.text(prefix + ".ped")
     pedigrees.map_lines(m).write.text(prefix + ".map")
