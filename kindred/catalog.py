@@ -658,7 +658,7 @@ def linkage(s, d):
 @query("assoc_scan")
 def assoc_scan(s, d):
     model = _model(s, d)
-    doses = V.genotypes(s, d).filter("chrom_idx = 1").select("fam", "id", "chrom_idx", "marker_idx", Q.copies().alias("dose"))
+    doses = V.genotypes(s, d).select("fam", "id", "chrom_idx", "marker_idx", Q.copies().alias("dose"))
     return lmm.association(model, model.fit(), doses)
 
 
