@@ -516,7 +516,7 @@ def gene_drop(s, d):
 from gt x join gt y on x.rep = y.rep and x.fam = y.fam and x.chrom_idx = y.chrom_idx and x.marker_idx = y.marker_idx and x.id < y.id""", "individuals", "edges", "map", "drop").replace("\nselect x.rep", ",\ngt as (select rep, fam, id, chrom_idx, marker_idx, max(case when hap = 0 then allele end) as a0, max(case when hap = 1 then allele end) as a1 from d3 where id % 9 >= 6 group by rep, fam, id, chrom_idx, marker_idx)\nselect x.rep", 1))
 def ibd_from_gene_drop(s, d):
     people, dropped = _dropped(s, d)
-    return D.ibd_sharing(dropped, people.filter("id % 9 >= 6"))
+    return D.ibd_sharing(dropped, people)
 
 
 @query("inheritance_spans", V.sql("""select fam, id, hap, chrom_idx, allele as anc, min(marker_idx) as start, max(marker_idx) + 1 as stop from (select *, sum(n) over (partition by rep, fam, id, hap, chrom_idx order by marker_idx) as k from

@@ -10,6 +10,7 @@ from kindred.sources import text
 
 #: The cuts in the SQL of each query.
 CUTS = {
+    "ibd_from_gene_drop": [" where id % 9 >= 6"],
     "plink_roundtrip": [" chrom_idx <= 2 and"],
     "range_join_ibd_state": [" where p_partkey % 40 = 0"],
     "vcf_scan": [" where o_orderkey < 200"],
