@@ -257,12 +257,16 @@ def descendants(s, d):
     return G.descendants(V.individuals(s, d))
 
 
+def _pairs(people):
+    """Every ordered pair of a family, everyone with themselves too."""
+    return people.select("fam", F.col("id").alias("id1")).join(people.select("fam", F.col("id").alias("id2")), "fam")
+
+
 @query("common_ancestors", V.sql("""select distinct x.fam, x.id as id1, y.id as id2, x.anc as ancestor from closure x join closure y on x.fam = y.fam and x.anc = y.anc
 where x.steps > 0 and y.steps > 0 and x.id % 9 = 6 and y.id % 9 = 7""", *GEN))
 def common_ancestors(s, d):
     people = V.individuals(s, d)
-    pairs = people.filter("id % 9 = 6").select("fam", F.col("id").alias("id1")).join(people.filter("id % 9 = 7").select("fam", F.col("id").alias("id2")), "fam")
-    return G.common_ancestors(people, pairs)
+    return G.common_ancestors(people, _pairs(people))
 
 
 @query("siblings", V.sql("select x.fam, x.id, y.id as sibling from individuals x join individuals y on x.fam = y.fam and x.father = y.father and x.mother = y.mother", "individuals"))
@@ -318,8 +322,7 @@ def kinship_all(s, d):
 left join amat a on a.fam = i.fam and a.id1 = i.id and a.id2 = j.id where i.id % 9 in (2, 6) and j.id % 9 in (4, 6, 7)""", *KIN))
 def kinship_paths(s, d):
     people = V.individuals(s, d)
-    pairs = people.filter("id % 9 in (2, 6)").select("fam", F.col("id").alias("id1")).join(people.filter("id % 9 in (4, 6, 7)").select("fam", F.col("id").alias("id2")), "fam")
-    return G.path_kinship(people, pairs, G.inbreeding(people))
+    return G.path_kinship(people, _pairs(people), G.inbreeding(people))
 
 
 @query("inbreeding", V.sql("select i.fam, i.id, coalesce(a.a / 2, 0.0) as inbreeding from individuals i left join amat a on a.fam = i.fam and a.id1 = i.father and a.id2 = i.mother", *KIN))

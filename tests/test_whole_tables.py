@@ -10,6 +10,8 @@ from kindred.sources import text
 
 #: The cuts in the SQL of each query.
 CUTS = {
+    "common_ancestors": [" and x.id % 9 = 6 and y.id % 9 = 7"],
+    "kinship_paths": [" where i.id % 9 in (2, 6) and j.id % 9 in (4, 6, 7)"],
     "ibd_from_gene_drop": [" where id % 9 >= 6"],
     "plink_roundtrip": [" chrom_idx <= 2 and"],
     "range_join_ibd_state": [" where p_partkey % 40 = 0"],
