@@ -136,12 +136,14 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def pack_point(p: np.ndarray) -> bytes:
-    """A point in one byte for each coordinate, or two where a count needs them."""
-    return p.astype(np.uint8).tobytes() if p.max(initial=0) < 256 else p.astype("<u2").tobytes()
+    """A point in one byte for each coordinate, or two or four where a count needs them."""
+    top = p.max(initial=0)
+    return p.astype(np.uint8 if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
 def unpack_points(packed: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(b, np.uint8 if len(b) == GROUPS else "<u2") for b in packed], np.int32)
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
+    return np.array([np.frombuffer(b, kinds[len(b)]) for b in packed], np.int32)
 
 
 class RTree:
