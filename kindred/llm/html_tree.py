@@ -4,7 +4,7 @@ The page becomes a tree (end tags that HTML leaves out are implied). Subtrees th
 headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers -- go. Each paragraph passes
 points for its length and commas to the elements above it (whole to the parent, half to the next, less further up);
 a container's points are discounted by the share of its text that stands in links. The best container is kept with
-those siblings whose own points or paragraphs are worth it. The text is that of the kept elements in page order:
+its siblings of any kind and length, unless a quarter of their text or more stands in links and their points are few. The text is that of the kept elements in page order:
 references decoded, white space inside a block made one space, blocks joined by one space; nothing is capped.
 
 Defined results: null or empty html, or a page without text outside the removed parts, gives empty text; a page cut
@@ -185,8 +185,8 @@ def _visible(node: Node) -> bool:
     return True
 
 
-def kept(tree: Tree) -> list[Node]:
-    """The elements whose text is the article, in page order."""
+def kept(tree: Tree) -> list[Node | str]:
+    """The elements and bare text that are the article, in page order."""
     nodes = tree.nodes
     for node in nodes:  # what stands in a dropped part is dropped
         if node.parent is not None and node.parent.dropped:
@@ -219,20 +219,27 @@ def kept(tree: Tree) -> list[Node]:
     if best.parent is None or best.tag == "body":
         return [best]
     top = best.score * (1 - _density(best))
-    out = []
-    for kid in best.parent.kids:
-        if isinstance(kid, str) or kid.dropped:
+    out: list[Node | str] = []
+    run: list[Node | str] = []  # bare text and inline elements up to the next block
+    for kid in [*best.parent.kids, None]:
+        if kid is not None and (isinstance(kid, str) or kid.tag not in BLOCKS):
+            run.append(kid)
             continue
-        if kid is best:
+        shown = [x for x in run if isinstance(x, str) or not x.dropped]
+        length = sum(len(" ".join(x.split())) if isinstance(x, str) else x.length for x in shown)
+        if length and sum(x.linked for x in shown if not isinstance(x, str)) < 0.25 * length:
+            out += shown
+        run = []
+        if kid is None or kid.dropped:
+            continue
+        if kid is best or kid.length and _density(kid) < 0.25:
             out.append(kid)
         elif kid.tag in ("article", "section", "div", "main") and kid.score * (1 - _density(kid)) >= max(10.0, 0.2 * top):
             out.append(kid)
-        elif kid.tag in ("p", "pre", "blockquote", "h1", "h2") and kid.length and _density(kid) < 0.25 and (kid.length >= 80 or kid.tag in ("h1", "h2")):
-            out.append(kid)
     return out
 
 
-def text_of(roots: list[Node]) -> str:
+def text_of(roots: list[Node | str]) -> str:
     """Text of the elements without dropped parts; blocks are set apart by white space, then all of it collapses."""
     parts: list[str] = []
     stack: list[Node | str] = list(reversed(roots))
