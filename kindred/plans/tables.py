@@ -28,17 +28,33 @@ def session(name: str = "kindred", master: str | None = None, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a folder of our own, but only if driver and tasks are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kindred.work.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kindred-work-")
         spark.conf.set("kindred.work.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: short lineage that survives lost executors."""
+def cut(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
+    """Write to a fresh path of the shared folder and read back: short lineage that survives lost executors, and later
+    jobs read only the columns that they need. :func:`discard` removes the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/kindred-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_kindred_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of tables made by :func:`cut`, once nothing lazy reads them any more."""
+    for df in tables:
+        path = df.__dict__.pop("_kindred_path", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
