@@ -131,17 +131,19 @@ def inbreeding(individuals: DataFrame, paths: DataFrame | None = None) -> DataFr
     known = depth(individuals, paths)
     weights = cut(_weights(paths))
     people = cut(individuals.select("fam", "id", "father", "mother").join(known, ["fam", "id"]))
-    out = people.filter(is_founder()).select("fam", "id", F.lit(0.0).alias("inbreeding"))
+    founders = people.filter(is_founder())
+    out = founders.select("fam", "id", F.lit(0.0).alias("inbreeding"))
+    d = founders.select("fam", F.col("id").alias("anc"), F.lit(1.0).alias("d"))
     deepest = people.agg(F.max("depth")).first()[0] or 0
     wf = weights.select("fam", F.col("id").alias("father"), "anc", F.col("w").alias("_wf"))
     wm = weights.select("fam", F.col("id").alias("mother"), "anc", F.col("w").alias("_wm"))
     for level in range(1, deepest + 1):
-        d = mendelian(people, out)
         here = people.filter((F.col("depth") == level) & ~is_founder())
         through = here.join(wf, ["fam", "father"]).join(wm, ["fam", "mother", "anc"]).join(d, ["fam", "anc"])
         theta = through.groupBy("fam", "id").agg((F.sum(F.col("_wf") * F.col("d") * F.col("_wm")) / 2).alias("_t"))
         new = here.select("fam", "id").join(theta, ["fam", "id"], "left").select("fam", "id", F.coalesce("_t", F.lit(0.0)).alias("inbreeding"))
-        out = cut(out.unionByName(new))
+        d = d.unionByName(cut(mendelian(here, out)))
+        out = out.unionByName(cut(new))
     return out
 
 

@@ -32,16 +32,24 @@ def distinct_alleles(genotypes: DataFrame, constraint: Column | None = None) ->
     return allele_list(genotypes, constraint).select(*LOCUS, "allele").distinct()
 
 
+def allele_counts(genotypes: DataFrame, constraint: Column | None = None) -> DataFrame:
+    """(locus, allele, n): genotypes are counted before their alleles are parted, so that rows do not double."""
+    pairs = genotypes.groupBy(*LOCUS, "a0", "a1").agg(F.count("*").alias("_n"))
+    each = pairs.select(*LOCUS, F.explode(F.array("a0", "a1")).alias("allele"), "_n").filter("allele is not null")
+    each = each.filter(constraint) if constraint is not None else each
+    return each.groupBy(*LOCUS, "allele").agg(F.sum("_n").alias("n"))
+
+
 def allele_frequency(genotypes: DataFrame, constraint: Column | None = None) -> DataFrame:
     """(locus, allele, n, frequency): share among the non-missing alleles of the locus."""
-    counted = allele_list(genotypes, constraint).groupBy(*LOCUS, "allele").agg(F.count("*").alias("n"))
+    counted = allele_counts(genotypes, constraint)
     total = F.sum("n").over(Window.partitionBy(*LOCUS))
     return counted.withColumn("frequency", F.col("n") / total)
 
 
 def major_allele(genotypes: DataFrame) -> DataFrame:
     """(locus, allele, n): the most frequent allele, of equals the least."""
-    counted = allele_list(genotypes).groupBy(*LOCUS, "allele").agg(F.count("*").alias("n"))
+    counted = allele_counts(genotypes)
     best = counted.groupBy(*LOCUS).agg(F.min(F.struct((-F.col("n")).alias("o"), "allele", "n")).alias("x"))
     return best.select(*LOCUS, "x.allele", "x.n")
 

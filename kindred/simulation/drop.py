@@ -66,7 +66,7 @@ def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, s
         chosen = strands(gametes, ["rep", "fam", "id", "hap", "parent"], markers, f"{seed}/drop")
         source = known.select("rep", "fam", F.col("id").alias("parent"), F.col("hap").alias("strand"), *LOCUS, "allele")
         made = chosen.join(source, ["rep", "fam", "parent", "strand", *LOCUS]).select(*shape)
-        known = cut(known.unionByName(made))
+        known = known.unionByName(cut(made))
     return known
 
 

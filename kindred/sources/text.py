@@ -36,6 +36,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("file", (start + F.col("_i")).alias("line"), F.regexp_replace("value", "\\r$", "").alias("value"))
 
 
+def placed(df: DataFrame, keys: list[str], name: str, span: int = 100_000) -> DataFrame:
+    """``df`` (file, line, ...) with the place (int, from 0) of each line among those of its keys, in order of file and
+    line. Two levels: within ``span`` line numbers, and by the lines of the spans before."""
+    df = df.withColumn("_span", F.floor(F.col("line") / span))
+    own = [*keys, "file", "_span"]
+    before = F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("file", "_span").rowsBetween(Window.unboundedPreceding, -1))
+    first = df.groupBy(*own).agg(F.count("*").alias("_n")).select(*own, F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*own).orderBy("line")) - 1
+    return df.withColumn("_i", inner).join(first, own).withColumn(name, (F.col("_before") + F.col("_i")).cast("int")).drop("_span", "_before", "_i")
+
+
 def fields(value: str = "value", delimiter: str | None = None):
     """The fields of a line: runs of white space part them unless a delimiter is named."""
     if delimiter is None:

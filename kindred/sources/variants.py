@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import FileFormatError
-from .text import fields, read_lines, rows
+from .text import fields, placed, read_lines, rows
 
 
 def _ids(header: DataFrame) -> list[str]:
@@ -36,18 +36,19 @@ def read_vcf_records(spark: SparkSession, path: str, require_pass: bool = False)
 
 def read_vcf(spark: SparkSession, path: str, require_pass: bool = False, frequency_key: str | None = None) -> tuple[list[str], DataFrame, DataFrame]:
     """(sample ids, markers, calls): calls that are the reference are left out, missing ones are NULL, a haploid call
-    is one row. The parts of a folder are one file in order of name."""
+    is one row. The parts of a folder are one file in order of name; a chromosome's records are numbered through wherever
+    they stand."""
     ids = _ids(rows(spark, path))
-    w = Window.partitionBy(F.lit(0)).orderBy("file", "line")
     records = read_vcf_records(spark, path, require_pass)
-    # positions of records in their file: one light row for each marker
-    numbered = records.select("file", "line", "chrom").withColumn("_new", F.when(F.lag("chrom").over(w).eqNullSafe(F.col("chrom")), 0).otherwise(1)).withColumn("chrom_idx", (F.sum("_new").over(w) - 1).cast("int"))
-    numbered = numbered.withColumn("marker_idx", (F.row_number().over(Window.partitionBy("chrom_idx").orderBy("file", "line")) - 1).cast("int")).select("file", "line", "chrom_idx", "marker_idx")
-    placed = records.join(numbered, ["file", "line"])
+    # chromosomes in order of their first records; they are few, and markers are numbered in two levels
+    chroms = records.groupBy("chrom").agg(F.min(F.struct("file", "line")).alias("_at"))
+    chroms = chroms.select("chrom", (F.row_number().over(Window.orderBy("_at")) - 1).cast("int").alias("chrom_idx"))
+    numbered = placed(records.select("file", "line", "chrom"), ["chrom"], "marker_idx").join(chroms, "chrom")
+    found = records.join(numbered.select("file", "line", "chrom_idx", "marker_idx"), ["file", "line"])
     maf = info_frequency(F.col("info"), frequency_key) if frequency_key else F.lit(None).cast("double")
-    markers = placed.select("chrom_idx", "chrom", "marker_idx", "label", F.lit(None).cast("double").alias("cm"), "bp", maf.alias("maf"), "ref", "alts")
+    markers = found.select("chrom_idx", "chrom", "marker_idx", "label", F.lit(None).cast("double").alias("cm"), "bp", maf.alias("maf"), "ref", "alts")
     gt = F.array_position("format", "GT").cast("int")
-    each = placed.select("chrom_idx", "marker_idx", gt.alias("_gt"), F.posexplode("samples").alias("_s", "_v"))
+    each = found.select("chrom_idx", "marker_idx", gt.alias("_gt"), F.posexplode("samples").alias("_s", "_v"))
     each = each.select("chrom_idx", "marker_idx", F.get(F.array(*[F.lit(i) for i in ids]), F.col("_s")).alias("id"), F.split(F.get(F.split("_v", ":"), F.col("_gt") - 1), "[|/]").alias("_g"))
     calls = each.select("id", "chrom_idx", "marker_idx", F.posexplode("_g").alias("hap", "_a")).select("id", "chrom_idx", "marker_idx", F.col("hap").cast("tinyint").alias("hap"), F.col("_a").try_cast("tinyint").alias("allele"))
     return ids, markers, calls.filter("allele is null or allele <> 0")
