@@ -6,7 +6,7 @@ format allows ancillary data, after a two-byte count. The stream opens with an I
 its 100-entry table, and ends with an ID3v1 tag. ``with_media_info`` parses any MPEG-1/2/2.5 audio bytes.
 
 Defined results: a null text is empty; an empty text makes a payload of 192 spaces; a null medium gives an empty
-result (zero frames, empty payload); bytes that are no frame are skipped and counted; a repeated row gives a
+result (zero frames, empty payload); checksums of all three layers are verified where frames carry them; bytes that are no frame are skipped and counted; a repeated row gives a
 repeated result; other columns of the input are not read, so their names cannot clash. Duration is exact: samples
 and rate as integers.
 """
@@ -36,6 +36,14 @@ BITRATES = {
     (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+# Bits of a Layer II allocation by subband, for tables a, b, c, d of MPEG-1 and the one of MPEG-2.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "lsf": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
 SIDE = {(True, True): 17, (True, False): 32, (False, True): 9, (False, False): 17}
 CRC_POLYNOMIAL = 0x8005
 
@@ -105,6 +113,39 @@ def read_header(four: bytes) -> Header | None:
     return out
 
 
+def crc16_bits(bits: str) -> int:
+    """The same over any number of bits ("0" and "1")."""
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1 ^ (CRC_POLYNOMIAL if (value >> 15) ^ (b == "1") else 0)) & 0xFFFF
+    return value
+
+
+def covered_bits(head: Header, frame: bytes) -> str | None:
+    """The bits of a protected Layer I or II frame that its checksum covers: the header's last 16, the allocation and,
+    in Layer II, the scale factor selection of each allocated subband; None: the frame is too short."""
+    mono, joint = frame[3] >> 6 == 3, frame[3] >> 6 == 1
+    channels = 1 if mono else 2
+    if head.layer == 1:
+        table = (4,) * 32
+    elif head.version != "1":
+        table = ALLOCATION["lsf"]
+    else:
+        each = head.kbps // channels
+        low = each < 56
+        table = ALLOCATION[("d" if head.rate == 32000 else "c") if low else "a" if head.rate == 48000 or each <= 80 else "b"]
+    bound = 4 * ((frame[3] >> 4 & 3) + 1) if joint else 32
+    bits = "".join(f"{b:08b}" for b in frame[6 : 6 + 256])
+    at, selected = 0, 0
+    for band, width in enumerate(table):
+        for _ in range(channels if band < bound else 1):
+            if "1" in bits[at : at + width]:
+                selected += 1 if band < bound else channels
+            at += width
+    at += 2 * selected if head.layer == 2 else 0
+    return f"{frame[2]:08b}{frame[3]:08b}{bits[:at]}" if at <= len(bits) else None
+
+
 @dataclass
 class AudioInfo:
     """What the parser found; offsets are positions of audio frames in the bytes."""
@@ -238,12 +279,17 @@ def parse(data: bytes) -> AudioInfo:
                 at += head.size
                 continue
         side = data[side_at:body_at]
-        if not head.protected or head.layer != 3:
+        if not head.protected:
             info.crc_unchecked += 1
-        elif crc16(data[at + 2 : at + 4] + side) == int.from_bytes(data[at + 4 : at + 6], "big"):
-            info.crc_ok += 1
         else:
-            info.crc_bad += 1
+            if head.layer == 3:
+                found: int | None = crc16(data[at + 2 : at + 4] + side)
+            else:
+                bits = covered_bits(head, data[at : at + head.size])
+                found = None if bits is None else crc16_bits(bits)
+            good = found == int.from_bytes(data[at + 4 : at + 6], "big")
+            info.crc_ok += good
+            info.crc_bad += not good
         if head.layer == 3 and not side.strip(b"\0"):
             n = int.from_bytes(data[body_at : body_at + 2], "big")
             parts.append(data[body_at + 2 : min(body_at + 2 + n, at + head.size)])

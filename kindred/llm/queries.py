@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpeg_audio.with_media(table(spark, sf_dir, "documents"))
-    columns = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature duration_samples sample_rate n_frames".split()
+    columns = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature duration_samples sample_rate n_frames seek_offsets".split()
     return mpeg_audio.with_media_info(stored, carry=("n_bytes",)).select(*columns)
 
 
