@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut as materialise  # noqa: F401
+from ..plans.tables import discard, shared_dir  # noqa: F401
+
 #: Regular expression of a word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,25 +21,9 @@ SLICE_BYTES = 8 << 20
 BUCKET_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("kindred.shared.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="kindred-shared-")
-            spark.conf.set("kindred.shared.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to a fresh path in the shared folder and read it back.
-
-    Cuts lineage in a way that survives lost executors, and lets later jobs prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def col(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -67,7 +52,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns cannot clash with those that an operator adds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[col(n) for n in names])
 
 
 def starts(df: DataFrame, group: str, order: list[Column], size: str, rows: int, name: str = "start") -> DataFrame:

@@ -15,7 +15,9 @@ without any break cost time with the square of their length.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,103 @@ SLICE = 2 << 20
 _MOST_PAIRS = 2_000_000
 
 
+@cache
+def _second() -> frozenset[str]:
+    """Characters that may compose with one before them."""
+    found = {chr(k) for k in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for k in range(0x110000):
+        parts = unicodedata.decomposition(chr(k)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+@cache
+def starts_afresh(c: str) -> bool:
+    """Whether composition never joins the character with what stands before it."""
+    d = unicodedata.normalize("NFD", c)[0]
+    return not unicodedata.combining(d) and d not in _second()
+
+
+class Units:
+    """Token count of a growing text without white space, special strings taken as ordinary text: one normalised
+    character more at a time, and back to a mark."""
+
+    def __init__(self, counter: PrefixCounts):
+        self.of = counter
+        self.done, self.kind, self.before = 0, "", (0, "")
+        self.fresh()
+
+    def fresh(self, kind: str = "") -> None:
+        self.kind, self.raw, self.counts, self.last = kind, bytearray(), [0], [-1]
+
+    def mark(self) -> tuple:
+        return self.done, self.kind, self.before, self.raw, self.counts, self.last, len(self.raw)
+
+    def back(self, mark: tuple) -> None:
+        self.done, self.kind, self.before, self.raw, self.counts, self.last, n = mark
+        del self.raw[n:], self.counts[n + 1 :], self.last[n + 1 :]
+
+    def _grow(self, c: str) -> None:
+        inside, agree, longest = self.of.inside, self.of._agree, self.of.longest
+        for b in c.encode():
+            self.raw.append(b)
+            i = len(self.raw)
+            near = bytes(self.raw[max(0, i - longest) :])
+            for k in range(len(near)):
+                t = inside.get(near[k:])
+                if t is not None:
+                    j = i - len(near) + k
+                    if self.last[j] < 0 or agree(self.last[j], t):
+                        break
+            self.counts.append(self.counts[j] + 1)
+            self.last.append(t)
+
+    def _closed(self) -> int:
+        """Tokens of the open unit, as one that ends here."""
+        i = len(self.raw)
+        near = bytes(self.raw[max(0, i - self.of.longest) :])
+        for k in range(len(near)):
+            t = self.of.closing.get(near[k:])
+            j = i - len(near) + k
+            if t is not None and (self.last[j] < 0 or self.of._agree(self.last[j], t)):
+                return self.counts[j] + 1
+        return 0
+
+    def count(self) -> int:
+        return self.done + self._closed()
+
+    def add(self, c: str) -> None:
+        kind = self.of.kind_of(c)
+        if self.kind == "quote" and c in "stmd" or self.kind == "quote?" and self.before[1] + c in ("re", "ve", "ll"):
+            start = self.done if self.kind == "quote" else self.before[0]
+            whole = "'" + (self.before[1] if self.kind == "quote?" else "") + c
+            self.fresh()
+            self._grow_all(whole)
+            self.done = start + self._closed()
+            self.fresh()
+        elif self.kind == "quote" and c in "rvl":  # a letter, unless the next one makes a contraction
+            self.before = (self.done, c)
+            self.done += self._closed()
+            self.fresh("quote?")
+            self._grow(c)
+        elif kind == "sign" and self.kind in ("sign", "quote") or kind == "letter" and self.kind in ("letter", "quote?"):
+            self.kind = kind
+            self._grow(c)
+        else:
+            self.done += self._closed()
+            self.fresh("quote" if c == "'" else kind)
+            if kind != "space":
+                self._grow(c)
+            if kind in ("digit", "space"):
+                self.done += self._closed()
+                self.fresh()
+
+    def _grow_all(self, text: str) -> None:
+        for c in text:
+            self._grow(c)
+
+
 class PrefixCounts:
     """Counts at every prefix, for the tokenizer of a :class:`WordBpe`."""
 
@@ -68,6 +167,16 @@ class PrefixCounts:
         self.beginnings = Table(18)
         self.beginnings.add(keys, np.arange(len(keys), dtype=np.int32))
         self.memory = Memory(self.learn, self.odd_chunk)
+        self.kinds: dict[str, str] = {}
+
+    def kind_of(self, c: str) -> str:
+        """How the tokenizer cuts around a normalised character: letter, digit, sign or space."""
+        kind = self.kinds.get(c)
+        if kind is None:
+            cut = self.bpe.library.pre_tokenizer.pre_tokenize_str
+            kind = "space" if not cut(c) else "letter" if len(cut("a" + c)) == 1 else "sign" if len(cut("!" + c)) == 1 else "digit"
+            self.kinds[c] = kind
+        return kind
 
     def _agree(self, a: int, b: int) -> bool:
         """Whether merging the bytes of token ``a`` followed by those of ``b`` gives the two back."""
@@ -216,9 +325,6 @@ class PrefixCounts:
 
     # chunks outside the fast path
 
-    def _whole(self, text: str) -> int:
-        return len(self.bpe.library.encode(text, add_special_tokens=False).ids)
-
     def _ordinary(self, text: str) -> list[int]:
         """Counts at each code point of a text without white space, special strings taken as ordinary text."""
         normal = self.bpe.library.normalizer.normalize_str
@@ -229,21 +335,29 @@ class PrefixCounts:
         back = {c: b for b, c in enumerate(self.bpe.chars)}
         for shown, (a, b) in self.bpe.library.pre_tokenizer.pre_tokenize_str(low):
             base = out[-1] if out else 0
+            out += [base] * (a - len(out))  # white space outside ASCII
             counts = self.unit(bytes(map(back.__getitem__, shown)))
             if low[a:b] in ("'re", "'ve", "'ll"):  # its first two characters are no contraction
                 counts[1] = self.unit(b"'")[-1] + self.unit(low[a + 1].encode())[-1]
             out += [base + x for x in counts]
-        return out
+        return out + [out[-1] if out else 0] * (len(low) - len(out))
 
     def _unsteady(self, text: str) -> list[int]:
-        """The same where composing characters changes what was before: encode from the last sure break."""
-        out: list[int] = []
-        base, start = 0, 0
+        """The same where composing characters changes what was before: what follows the last sure start is taken back
+        and done again, the rest stands."""
+        normal, run, out = self.bpe.library.normalizer.normalize_str, Units(self), []
+        start, tail, kept = 0, "", run.mark()
         for e in range(1, len(text) + 1):
-            a, b = text[e - 2 : e - 1], text[e - 1]
-            if e - start > 64 and a.isascii() and b.isascii() and a.isalpha() != b.isalpha() and "'" not in text[max(0, e - 4) : e + 3] and "<" not in text[max(0, e - 16) : e]:
-                base, start = out[-1], e - 1
-            out.append(base + self._whole(text[start:e]))
+            if starts_afresh(text[e - 1]):
+                start, tail, kept = e - 1, "", run.mark()
+            now = normal(text[start:e])
+            if not now.startswith(tail):
+                run.back(kept)
+                tail = ""
+            for c in now[len(tail) :]:
+                run.add(c)
+            tail = now
+            out.append(run.count())
         return out
 
     def odd_chunk(self, chunk: bytes) -> np.ndarray:
@@ -333,15 +447,16 @@ def with_prefix_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
 
 def ask(df: DataFrame, budget: int, at: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, keep_chars long, tokens_at long): the longest prefix whose count is within ``budget`` tokens, and the
-    count of the first ``at`` code points (of the whole text if it is shorter), from the stored changes alone."""
+    """(id, keep_chars long, tokens_at long): the longest prefix whose count is within ``budget`` tokens (NULL if there is
+    none: a budget below 0), and the count of the first ``at`` code points (of the whole text if it is shorter, of
+    nothing if ``at`` is negative), from the stored changes alone."""
     df = only(df, id_col, "prefix_changes")
     kind = df.schema[id_col].dataType.simpleString()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "prefix_changes"):
             counts = [counts_from(x or b"\1") for x in b.column(1).to_pylist()]
-            keep = [int(np.flatnonzero(c <= budget)[-1]) for c in counts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keep, pa.int64()), pa.array((int(c[min(at, len(c) - 1)]) for c in counts), pa.int64())], names=[id_col, "keep_chars", "tokens_at"])
+            keep = [int(np.flatnonzero(c <= budget)[-1]) if budget >= 0 else None for c in counts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keep, pa.int64()), pa.array((int(c[max(0, min(at, len(c) - 1))]) for c in counts), pa.int64())], names=[id_col, "keep_chars", "tokens_at"])
 
     return df.mapInArrow(answer, f"`{id_col}` {kind}, keep_chars long, tokens_at long")
