@@ -1,14 +1,20 @@
 """HTML extraction by tree scoring.
 
-The page becomes a tree (end tags that HTML leaves out are implied). Subtrees that say what they are -- menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers -- go. Each paragraph passes
-points for its length and commas to the elements above it (whole to the parent, half to the next, less further up);
-a container's points are discounted by the share of its text that stands in links. The best container is kept with
-its siblings of any kind and length, unless a quarter of their text or more stands in links and their points are few. The text is that of the kept elements in page order:
-references decoded, white space inside a block made one space, blocks joined by one space; nothing is capped.
+The page becomes a tree (end tags that HTML leaves out are implied). Elements whose tag or attributes take them off
+the article -- menus, page headers, footers, asides, forms, scripts, hidden parts -- go. Class, id and role names
+(sidebar, comments, cookie notice, advert ...) are evidence only, and a name of state ("has-sidebar", "no-comments")
+is none: an article or main element never goes by its name; another element so named goes if an article or main
+element holds real text outside such elements (beside it: any text of a twentieth of its own), or if it holds a third
+of the page's text at most (names of reader comments and notices: four fifths); else it stays, at half its points. Each paragraph passes points for its length and commas to the
+elements above it (whole to the parent, half to the next, less further up); a container's points are discounted by
+the share of its text that stands in links. The best container is kept with its siblings of any kind and length,
+unless a quarter of their text or more stands in links and their points are few. The text is that of the kept
+elements in page order: references decoded, white space inside a block (any Unicode white space, no-break spaces
+included) made one space, blocks joined by one space; nothing is capped.
 
 Defined results: null or empty html, or a page without text outside the removed parts, gives empty text; a page cut
-off anywhere is read as far as it goes; repeated rows give repeated results; other columns are not read.
+off anywhere is read as far as it goes; repeated rows give repeated results; an empty table gives an empty one; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +25,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import only, slices
+from .common import col, only, slices
 
 # Element names of HTML by role, and words of class, id and role that name a removed part.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +48,8 @@ NEGATIVE = frozenset(
     "subscribe subscription signup login related recommended recommendations share sharing social sidebar sidebars "
     "widget widgets toolbar search complementary contentinfo skip tags outbrain taboola hidden feedback".split()
 )
+FIRM = frozenset("comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices".split())
+STATE = frozenset("has no not with without show hide enable disable".split())
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -54,29 +63,37 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+#: Text of an article or main element, in characters, from which it is taken for the article; how many times its text a
+#: named element beside it may hold and go; most rounds of :func:`judge`.
+REAL, BESIDE, ROUNDS = 140, 20, 50
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "length", "linked", "commas", "score", "solid")
+    __slots__ = ("tag", "parent", "kids", "dropped", "named", "firm", "weight", "length", "linked", "clean", "commas", "score", "solid")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, names: set[str]):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.named, self.firm, self.weight = bool(names), bool(names & FIRM), 1.0
         self.kids: list[Node | str] = []
-        self.length = self.linked = self.commas = 0
+        self.length = self.linked = self.clean = self.commas = 0
         self.score = 0.0
         self.solid = False
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether the attributes say that the element is no part of the article."""
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "style" and v and _INVISIBLE.search(v) for n, v in attrs)
+
+
+def _names(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words of class, id and role that speak against the element, without names of state."""
+    found: set[str] = set()
     for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if not value:
-            continue
-        if name in ("class", "id", "role") and any(w.lower() in NEGATIVE for w in _WORDS.findall(value)):
-            return True
-        if name == "style" and _INVISIBLE.search(value):
-            return True
-    return False
+        if value and name in ("class", "id", "role"):
+            for token in value.split():
+                parts = [w.lower() for w in _WORDS.findall(token)]
+                if parts and parts[0] not in STATE:
+                    found.update(NEGATIVE.intersection(parts))
+    return found
 
 
 class Tree(HTMLParser):
@@ -84,7 +101,7 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None, False)
+        self.root = self.at = Node("html", None, False, set())
         self.nodes: list[Node] = [self.root]
         self.open: dict[str, int] = {"html": 1}
 
@@ -126,8 +143,9 @@ class Tree(HTMLParser):
             self.at.kids.append("\n")
             return
         inside = any(self.open.get(t) for t in ("article", "main"))
-        dropped = tag in GONE or tag == "header" and not inside or tag not in ("html", "body", "main") and _named(attrs)
-        node = Node(tag, self.at, dropped)
+        dropped = tag in GONE or tag == "header" and not inside or tag not in ("html", "body") and _hidden(attrs)
+        names = set() if dropped or tag in ("html", "body", "article", "main") else _names(attrs)
+        node = Node(tag, self.at, dropped, names)
         self.at.kids.append(node)
         if tag not in VOID:
             self.nodes.append(node)
@@ -154,11 +172,19 @@ class Tree(HTMLParser):
         self.at.kids.append(data)
 
 
+def _spread(nodes: list[Node]) -> None:
+    """What stands in a dropped part is dropped."""
+    for node in nodes:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+
+
 def _measure(nodes: list[Node]) -> None:
     """Length, length in links and commas of each element without dropped parts (children come after parents)."""
     for node in reversed(nodes):
         if node.dropped:
             continue
+        node.length = node.linked = node.commas = 0
         for kid in node.kids:
             if isinstance(kid, str):
                 n = len(" ".join(kid.split()))
@@ -173,24 +199,58 @@ def _measure(nodes: list[Node]) -> None:
             node.linked = node.length
 
 
-def _density(node: Node) -> float:
-    return node.linked / node.length if node.length else 0.0
+def judge(nodes: list[Node]) -> None:
+    """Drop elements by their names where the rest of the page bears it."""
+    root = nodes[0]
+    total = root.length - root.linked
+    for turn in range(ROUNDS):
+        outer, real = [], 0
+        for node in reversed(nodes):  # text outside links and named elements
+            if not node.dropped:
+                own = node.length - node.linked
+                node.clean = 0 if node.tag == "a" else own - sum(k.length - k.linked - (0 if k.named else k.clean) for k in node.kids if not isinstance(k, str) and not k.dropped)
+        inside: set[int] = set()
+        article: set[int] = set()
+        for node in nodes:
+            if node.dropped:
+                continue
+            if node.tag in ("article", "main") or node.parent is not None and id(node.parent) in article:
+                article.add(id(node))
+            if node.parent is not None and id(node.parent) in inside:
+                inside.add(id(node))
+            elif node.named:
+                inside.add(id(node))
+                outer.append(node)
+            elif node.tag in ("article", "main"):
+                real = max(real, node.clean)
+        if not outer:
+            return
+        sure = turn == ROUNDS - 1 or real >= REAL or real * 3 >= total > 0
+        stay = []
+        for node in outer:
+            own = node.length - node.linked
+            beside = id(node) not in article and own <= BESIDE * real
+            if sure or beside or own * 3 <= total or node.firm and own * 5 <= total * 4:
+                node.dropped = True
+            else:
+                stay.append(node)
+        _spread(nodes)
+        if not stay:
+            return
+        for node in stay:  # what is named below it is judged next
+            node.named, node.weight = False, 0.5
 
 
-def _visible(node: Node) -> bool:
-    while node is not None:
-        if node.dropped:
-            return False
-        node = node.parent
-    return True
+def _density(node: Node) -> float:
+    return node.linked / node.length if node.length else 0.0
 
 
 def kept(tree: Tree) -> list[Node | str]:
     """The elements and bare text that are the article, in page order."""
     nodes = tree.nodes
-    for node in nodes:  # what stands in a dropped part is dropped
-        if node.parent is not None and node.parent.dropped:
-            node.dropped = True
+    _spread(nodes)
+    _measure(nodes)
+    judge(nodes)
     _measure(nodes)
     live = [n for n in nodes if not n.dropped]
     for node in live:
@@ -209,7 +269,7 @@ def kept(tree: Tree) -> list[Node | str]:
     holders = [n for n in live if n.score > 0 and n.tag not in PARAGRAPHS and n.tag in BLOCKS]
     if not holders:
         return [tree.root] if tree.root.length else []
-    best = max(holders, key=lambda n: n.score * (1 - _density(n)))
+    best = max(holders, key=lambda n: n.score * n.weight * (1 - _density(n)))
     above = best.parent
     while above is not None and above.tag not in ("body", "html"):  # a heading or a part may stand beside the best
         if above.tag in ("article", "main") and best.length * 2 > above.length:
@@ -232,9 +292,9 @@ def kept(tree: Tree) -> list[Node | str]:
         run = []
         if kid is None or kid.dropped:
             continue
-        if kid is best or kid.length and _density(kid) < 0.25:
+        if kid is best or kid.weight == 1 and kid.length and _density(kid) < 0.25:
             out.append(kid)
-        elif kid.tag in ("article", "section", "div", "main") and kid.score * (1 - _density(kid)) >= max(10.0, 0.2 * top):
+        elif kid.weight == 1 and kid.tag in ("article", "section", "div", "main") and kid.score * (1 - _density(kid)) >= max(10.0, 0.2 * top):
             out.append(kid)
     return out
 
@@ -267,12 +327,12 @@ def extract(html: str | None) -> str:
 
 def with_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text string, n_chars long) for every page."""
-    df = only(df, id_col, url_col, html_col)
-    kinds = [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (id_col, url_col)]
+    own = only(df, id_col, url_col)
+    df = df.select(col(id_col).alias("0"), col(url_col).alias("1"), col(html_col).alias("2"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, html_col):
+        for b in slices(batches, "2"):
             texts = [extract(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return df.mapInArrow(read, f"{', '.join(kinds)}, text string, n_chars long")
+    return df.mapInArrow(read, StructType([*own.schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
