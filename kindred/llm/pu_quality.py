@@ -9,8 +9,10 @@ over features of the writing: bytes, neighbouring byte classes, and how words an
 
 Fitting uses a bounded sample: at most ``SAMPLE`` positives and as many unlabelled documents, those of smallest id
 hash. Defined results: a null text is empty and gets a score as well; without positives to learn from every score is
-0.5; a document id labelled both ways counts as unlabelled; repeated rows give repeated results; an empty table gives
-an empty result. Texts are read whole.
+0.5; a document id labelled both ways counts as unlabelled; of several texts under one id the sample takes that of
+smallest hash, and every row gets its own text's score; repeated rows give repeated results; an empty table gives an
+empty result; rows without an id are scored and never learned from; other columns may have any names. Texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import only, slices, utf8
+from .common import col, slices, utf8
 
 #: Most positives, and most unlabelled documents, that the fit takes.
 SAMPLE = 6000
@@ -113,28 +116,30 @@ def prior_from_positives(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fold(id_col: str) -> Column:
     """crc32 of the id as text, mod FOLDS; a null id is in fold 0."""
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT))
+    return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[np.ndarray, np.ndarray, float | None]:
     """(features of positives, features of unlabelled documents, prior or None), from training rows only."""
-    known = labels.filter(fold(id_col) != HELD_OUT).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).filter("lo = hi")
+    known = labels.filter(fold(id_col) != HELD_OUT).groupBy(col(id_col).alias("_id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).filter("lo = hi")
     row = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("lo") == 1, 1).otherwise(0)).alias("n1")).first()
     prior = None if not row["n"] or row["n1"] == row["n"] else float(np.clip(row["n1"] / row["n"], 0.05, 0.95))
     rank = F.xxhash64("_id", F.lit(5))
     positive = known.filter("lo = 1").orderBy(rank, "_id").limit(most).select("_id", F.lit(1).alias("known"))
-    other = docs.filter(fold(id_col) != HELD_OUT).select(F.col(f"`{id_col}`").alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(6)), "_id").limit(most).select("_id", F.lit(0).alias("known"))
+    other = docs.filter(fold(id_col) != HELD_OUT).select(col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(6)), "_id").limit(most).select("_id", F.lit(0).alias("known"))
     # at most 2 * most ids, whatever the size of the tables
     drawn = positive.unionByName(other)
-    rows = only(docs, id_col, text_col).join(F.broadcast(drawn), F.col(f"`{id_col}`") == F.col("_id")).dropDuplicates(["_id", "known"])
+    texts = docs.select(col(id_col).alias("own"), col(text_col).alias("text"))
+    met = texts.join(F.broadcast(drawn), F.col("own") == F.col("_id"))
+    rows = met.groupBy("_id", "known").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x")).select("x.text", "_id", "known")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 2 << 20):
+        for b in slices(batches, "text", 2 << 20):
             x = features(utf8(b.column(0)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "known", "x"])
 
     kind = drawn.schema["_id"].dataType.simpleString()
-    found = rows.select(F.col(f"`{text_col}`"), "_id", "known").mapInArrow(compute, f"_id {kind}, known int, x binary").toArrow().sort_by([("known", "ascending"), ("_id", "ascending")])
+    found = rows.mapInArrow(compute, f"_id {kind}, known int, x binary").toArrow().sort_by([("known", "ascending"), ("_id", "ascending")])
     known_col = np.array(found.column("known").to_pylist(), np.int64)
     x = np.array([np.frombuffer(r, np.float32) for r in found.column("x").to_pylist()], np.float32).reshape(-1, N_FEATURES)
     return x[known_col == 1], x[known_col == 0], prior
@@ -152,17 +157,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, score double) for every row."""
-    df = only(df, id_col, text_col, *carry)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for k, f in enumerate(df.schema.fields) if k != 1 or f.name in carry]
-    if text_col in carry:
-        raise ValueError("the text column cannot be carried twice")
+    own = df.select(col(id_col), *[col(c) for c in carry])
+    names = [*own.columns, "score"]
+    df = df.select(col(text_col).alias("0"), *[col(c).alias(str(k)) for k, c in enumerate((id_col, *carry), 1)])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 2 << 20):
-            scores = scorer(features(utf8(b.column(1)))).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + k) for k in range(len(carry))), pa.array(scores)], names=[id_col, *carry, "score"])
+        for b in slices(batches, "0", 2 << 20):
+            scores = scorer(features(utf8(b.column(0)))).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores)], names=names)
+
+    return df.mapInArrow(rate, StructType([*own.schema.fields, StructField("score", DoubleType())]))
+
 
-    return df.mapInArrow(rate, ", ".join([*kinds, "score double"]))
+def risk(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> float:
+    """Non-negative risk of raw scores under the logistic loss."""
+    unseen = np.logaddexp(0, z_unl).mean() - prior * np.logaddexp(0, z_pos).mean()
+    return float(prior * np.logaddexp(0, -z_pos).mean() + max(0.0, unseen))
 
 
 def keep(df: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
