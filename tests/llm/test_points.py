@@ -14,4 +14,4 @@ def test_points_of_large_sets_are_exact():
     assert [len(b) // rtree_join.GROUPS for b in packed] == [1, 1, 2, 2, 4]
     assert (rtree_join.unpack_points(packed) == p).all()
     sizes = np.full(2, 3_065_536)
-    assert rtree_join.near_pairs(rtree_join.unpack_points([packed[4]] * 2), sizes, np.zeros(2, int), 90, 100) != []
+    assert rtree_join.near_pairs([7, 8], list(rtree_join.unpack_points([packed[4]] * 2)), sizes, np.ones(2, bool), 90, 100, rtree_join.Forest()) != []
