@@ -9,8 +9,10 @@ Slots beyond the source's exact number are left out and missing ones follow in c
 its target within a block. Slots join the packed documents by block index.
 
 Defined results: sources are ordered by code point, null last; a null text has size 0 and is never taken; repeated
-rows are separate rows; an empty table gives an empty result; rows that agree in id, source and text are exchangeable;
-other columns are not read. The list of sources goes to the driver (one row each: a source is a label of a corpus).
+rows are separate rows; an empty table has no plan; rows that agree in id, source and text are exchangeable; null ids
+take part; other columns are carried as they are and may have any names. A document that the mix draws in several
+rounds gives a row for each, one that it doesn't draw gives none. The list of sources goes to the driver (one row
+each: a source is a label of a corpus).
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, only, starts
+from .common import WORD, col, materialise, starts
 
 BLOCK, SHARD = 64, 4096
+#: Slots of one range, and slots that a task makes, about.
+RANGE, SLOTS = 1 << 14, 1 << 21
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
@@ -88,12 +92,11 @@ class Mix:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> Mix | None:
     """Plan the mix of a table; None: it has no rows."""
     spark = df.sparkSession
-    df = only(df, id_col, text_col, source_col)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(col(text_col), F.lit(""))
     sized = materialise(
         df.select(
-            F.col(f"`{id_col}`").alias("_id"),
-            F.col(f"`{source_col}`").alias("source"),
+            col(id_col).alias("_id"),
+            col(source_col).alias("source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
             F.xxhash64(text).alias("key"),
         ),
@@ -134,28 +137,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (shards, which, n)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1].astype(np.int32)), pa.array(flat[2], pa.int64())], names=["shard", "source_no", "n"])
 
-    tasks = max(1, min(n_shards, 1024))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(n_shards, max(parts, n_shards // 256)))
     drawn = materialise(spark.range(0, n_shards, 1, tasks).mapInArrow(draw, "shard long, source_no int, n long"), "draws")
     got = {r["source_no"]: r["n"] for r in drawn.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
     missing = [(n_shards + k, k, int(exact[k]) - got.get(k, 0), got.get(k, 0)) for k in range(len(found)) if got.get(k, 0) < exact[k]]
     ordered = starts(drawn, "source_no", [F.col("shard")], "n", n_shards * len(found))
     closing = spark.createDataFrame(missing, "shard long, source_no int, n long, start long")
-    runs = ordered.select("shard", "source_no", "n", "start").unionByName(closing)
+    runs = ordered.select("shard", "source_no", "n", "start").unionByName(closing).filter("n > 0")
+    # a run of any length in ranges of bounded length, dealt out by number: few rows stand for many slots
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long")))
+    runs = runs.withColumn("_at", at).select("shard", "source_no", F.least(F.col("n") - F.col("_at"), F.lit(RANGE)).alias("n"), (F.col("start") + F.col("_at")).alias("start"))
+    runs = runs.repartition(max(parts, total // SLOTS + 1), "source_no", "start")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard, source, n, start = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             n = np.minimum(n, np.maximum(0, exact[source] - start))
             for k in np.flatnonzero(n):
-                for at in range(0, int(n[k]), 1 << 16):
-                    slot = start[k] + np.arange(at, min(int(n[k]), at + (1 << 16)))
-                    own = np.full(len(slot), source[k])
-                    turn = slot // counts[own]
-                    block = permute(slot % counts[own], counts[own], (own * 1000003 + turn * 8191 + seed).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(slot), shard[k])), pa.array(own.astype(np.int32)), pa.array(slot), pa.array(turn.astype(np.int32)), pa.array(block)],
-                        names=["shard", "source_no", "slot", "round", "block"],
-                    )
+                slot = start[k] + np.arange(int(n[k]))
+                own = np.full(len(slot), source[k])
+                turn = slot // counts[own]
+                block = permute(slot % counts[own], counts[own], (own * 1000003 + turn * 8191 + seed).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(slot), shard[k])), pa.array(own.astype(np.int32)), pa.array(slot), pa.array(turn.astype(np.int32)), pa.array(block)],
+                    names=["shard", "source_no", "slot", "round", "block"],
+                )
 
     slots = runs.mapInArrow(fill, "shard long, source_no int, slot long, round int, block long")
     return Mix(rows.withColumnRenamed("_id", id_col), slots, id_col)
@@ -176,23 +183,17 @@ def mixed_documents(df: DataFrame, plan: Mix, text_col: str = "text", source_col
     """The mix as rows of ``df``: for each document and round in which any of its blocks is drawn, a row whose text is
     the drawn words in their order (the whole text, unchanged, where all of them are)."""
     per = plan.spans().join(plan.slots.select("source_no", "block", "round"), ["source_no", "block"])
-    keys = [plan.id_col, "key", "source", "size", "start"]
-    picks = per.groupBy(*keys, "round").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("picks"))
-    names = df.columns
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.withColumn("_key", F.xxhash64(text)).dropDuplicates([plan.id_col, source_col, "_key"]).alias("d")
-    joined = docs.join(
-        picks.alias("p"),
-        F.col(f"d.{plan.id_col}").eqNullSafe(F.col(f"p.{plan.id_col}"))
-        & F.col(f"d.{source_col}").eqNullSafe(F.col("p.source"))
-        & (F.col("d._key") == F.col("p.key")),
-    )
+    picks = per.groupBy(col(plan.id_col).alias("_id"), "key", "source", "size", "start", "round").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("picks"))
+    row = F.struct(*[col(n) for n in df.columns]).alias("row")
+    docs = df.select(row, col(plan.id_col).alias("own"), col(source_col).alias("from"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("hash"))
+    if plan.rows.groupBy(col(plan.id_col), "source", "key").count().filter("count > 1").head(1):
+        docs = docs.dropDuplicates(["own", "from", "hash"])
+    joined = docs.join(picks, F.col("own").eqNullSafe(F.col("_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("key")))
+    joined = joined.withColumn("text", F.col("row").getField(text_col))
     # words as pieces that end before the next word, so that the white space between them stays as it was
-    whole = F.expr("size(p.picks) > 0 and aggregate(p.picks, 0L, (a, x) -> a + x.words) = p.size")
-    pieces = F.expr(f"regexp_extract_all(d.`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")
-    cut = F.when(whole, F.col(f"d.{text_col}")).otherwise(F.trim(F.expr("array_join(flatten(transform(p.picks, x -> slice(_w, cast(x.first + 1 as int), cast(x.words as int)))), '')")))
-    out = joined.withColumn("_w", F.when(~whole, pieces)).withColumn("_cut", cut)
-    columns = []
-    for n in names:
-        columns.append(F.col("_cut").alias(n) if n == text_col else F.length("_cut").cast(df.schema[n].dataType).alias(n) if n == n_chars_col else F.col(f"d.`{n}`").alias(n))
-    return out.select(*columns)
+    whole = F.expr("aggregate(picks, 0L, (a, x) -> a + x.words) = size")
+    pieces = F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")
+    drawn = F.trim(F.expr("array_join(flatten(transform(picks, x -> slice(pieces, cast(x.first + 1 as int), cast(x.words as int)))), '')"))
+    out = joined.withColumn("pieces", F.when(~whole, pieces)).withColumn("drawn", F.when(whole, F.col("text")).otherwise(drawn))
+    made = {text_col: F.col("drawn")} | ({n_chars_col: F.length("drawn").cast(df.schema[n_chars_col].dataType)} if n_chars_col in df.columns else {})
+    return out.select(*[made.get(n, F.col("row").getField(n)).alias(n) for n in df.columns])
