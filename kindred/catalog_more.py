@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from . import views as V
-from .catalog import MAP, _codes, _effect_markers, _effects, _folder, _small_map, _text, _u, query
+from .catalog import MAP, RANKED, _codes, _dropped, _effect_markers, _effects, _folder, _small_map, _text, _u, query
 from .functions import sequences as S
 from .operators import genotype as T
 from .operators import individuals as P
@@ -14,6 +14,7 @@ from .operators import intervals as I
 from .operators import sgs
 from .plans import programs
 from .simulation import drop as D
+from .simulation import population as N
 from .simulation import trait as Q
 from .sources import pedigrees, variants
 from .stats import lmm
@@ -188,6 +189,85 @@ def frequencies(s, d):
     return programs.frequencies(V.genotypes(s, d)).withColumn("frequency", F.round("frequency", 9))
 
 
+# populations that move forward, constrained descent, replicates
+
+EVERYBODY = FOUNDERS.replace("where father is null and mother is null", "").replace("select fam, id, hap", "select id, hap").replace("select fam, id, unnest", "select id, unnest")
+CHILDREN = f"""kids as (select child as id, q.sex, a.id as father, b.id as mother from (select child, cast(floor({_u('30/mating/f', 'child')} * n0) as bigint) as kf, cast(floor({_u('30/mating/m', 'child')} * n1) as bigint) as km,
+  cast(floor({_u('30/mating/s', 'child')} * 2) as int) as sex from (select unnest(range(0, (select count(*) from individuals))) as child) c, n) q join ranked a on a.sex = 0 and a.k = q.kf join ranked b on b.sex = 1 and b.k = q.km),
+st as (select id, hap, p, chrom_idx, marker_idx, sum(case when {_u('30/gamete', 'id', 'hap', 'p', 'chrom_idx', 'marker_idx')} < r then 1 else 0 end) over (partition by id, hap, p, chrom_idx order by marker_idx) % 2 as strand
+  from (select id, 0 as hap, father as p from kids union all select id, 1, mother from kids) q, map)"""
+
+
+def _population(s, d, seed):
+    people = V.individuals(s, d).select("id", "sex", "father", "mother")
+    return people, N.founder_haplotypes(people, _small_map(s), seed=seed)
+
+
+@query("advance_generation", f"""with {V.SQL['individuals']}, {RANKED}, {MAP}, {EVERYBODY.format(u=_u('29', 'id', 'hap', 'chrom_idx', 'marker_idx'))}, {CHILDREN}
+select k.id, k.sex, k.father, k.mother, s.hap, s.chrom_idx, s.marker_idx, f.allele from st s join kids k on k.id = s.id join f on f.id = s.p and f.hap = s.strand and f.chrom_idx = s.chrom_idx and f.marker_idx = s.marker_idx""")
+def advance_generation(s, d):
+    people, haplotypes = _population(s, d, 29)
+    children, made = N.next_generation(people, haplotypes, _small_map(s), people.count(), seed=30)
+    return made.join(children, "id")
+
+
+@query("pool_of_population", f"""with {V.SQL['individuals']}, {MAP}, {EVERYBODY.format(u=_u('31', 'id', 'hap', 'chrom_idx', 'marker_idx'))}
+select cast(dense_rank() over (order by id, hap) - 1 as bigint) as hap_id, chrom_idx, marker_idx, allele from f""")
+def pool_of_population(s, d):
+    return N.pool_of(_population(s, d, 31)[1], ["id"])[0]
+
+
+@query("mean_genotypic_value", f"""with {V.SQL['individuals']}, {MAP}, {EVERYBODY.format(u=_u('32', 'id', 'hap', 'chrom_idx', 'marker_idx'))},
+v as (select id, sum(case chrom_idx when 0 then case c when 1 then 0.5e0 * 1.2e0 when 2 then 1e0 else 0e0 end else case c when 1 then -0.25e0 when 2 then -0.5e0 else 0e0 end end) as y
+  from (select id, chrom_idx, sum(case when allele = 2 then 1 else 0 end) as c from f where chrom_idx = 0 and marker_idx = 1 or chrom_idx = 1 and marker_idx = 4 group by id, chrom_idx) q group by id),
+t as (select 0.3e0 as q, 0.7e0 as p, 0.5e0 * (1 + 0.2e0 * 0.4e0) as a1, -0.25e0 as a2)
+select round(max(2 * p * q * 0.6e0 + q * q - 2 * p * q * 0.25e0 - q * q * 0.5e0), 9) as expected_mean, round(max(2 * p * q * a1 * a1 + 2 * p * q * a2 * a2), 9) as expected_variance, round(avg(y), 9) as mean, round(var_pop(y), 9) as variance from v, t""")
+def mean_genotypic_value(s, d):
+    people, haplotypes = _population(s, d, 32)
+    effects = s.createDataFrame([(0, 1, 0.5, 0.2), (1, 4, -0.25, 0.0)], "chrom_idx int, marker_idx int, a double, k double")
+    out = N.mean_genotypic_value(people, haplotypes, Q.Trait(effects, _small_map(s)), 32)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+def _pinned_level(level: str, source: str, where: str) -> str:
+    return f"""s{level} as (select rep, fam, id, hap, parent, chrom_idx, marker_idx, sum(case when {_u('33/drop', 'rep', 'fam', 'id', 'hap', 'parent', 'chrom_idx', 'marker_idx')} < r then 1 else 0 end)
+  over (partition by rep, fam, id, hap, parent, chrom_idx order by marker_idx) % 2 as strand from (select e.fam, e.id, e.parent, e.via as hap, 0 as rep from edges e where e.id % 9 in {where}) q, map),
+h{level} as (select x.*, pin, max(case when marker_idx = 3 then strand end) over (partition by rep, x.fam, x.id, x.hap, x.chrom_idx) as shown from s{level} x left join pins p on p.fam = x.fam and p.id = x.id and p.hap = x.hap and x.chrom_idx = 1),
+d{level} as (select * from {source} union all select s.rep, s.fam, s.id, s.hap, s.chrom_idx, s.marker_idx, k.allele from h{level} s join {source} k
+  on k.rep = s.rep and k.fam = s.fam and k.id = s.parent and k.hap = case when pin is not null and pin <> shown then 1 - strand else strand end and k.chrom_idx = s.chrom_idx and k.marker_idx = s.marker_idx)"""
+
+
+PINS = f"""asked as (select fam, id from individuals where id % 9 = 8),
+side as (select fam, id, case when {_u('33/line', 'fam', 'id', 'id', '0')} < {_u('33/line', 'fam', 'id', 'id', '1')} then 0 else 1 end as via from asked),
+pins as (select fam, id, via as hap, 0 as pin from side union all select fam, id - 2 + via, 0, 1 from side union all select fam, case when via = 0 then id - 6 else id - 4 end, 1, 1 from side)"""
+
+
+@query("descent_drop", V.sql("select rep, fam, id, hap, chrom_idx, marker_idx, allele from d3", "individuals", "edges", "map", "drop").replace(V.SQL["drop"], ",\n".join([
+    PINS, V.SQL["drop"].split(",\ns1 as", 1)[0], _pinned_level("1", "d0", "(2, 4)"), _pinned_level("2", "d1", "(6, 7)"), _pinned_level("3", "d2", "(8)")])))
+def descent_drop(s, d):
+    """The child of cousins in each family carries the grandmother's second haplotype at one marker."""
+    people = V.individuals(s, d)
+    asked = people.filter("id % 9 = 8").select("fam", "id", (F.col("id") - 7).alias("ancestor"), F.lit(1).alias("chrom_idx"), F.lit(3).alias("marker_idx"), F.lit(1).alias("chromatid"))
+    return D.descent_drop(people, _small_map(s), asked, 33)
+
+
+@query("ibd_states", V.sql("""select x.rep, x.fam, x.chrom_idx, x.marker_idx, x.id as id1, y.id as id2, case when x.id = y.id then case when x.a0 = x.a1 then 2 else 0 end when x.a0 = y.a0 and x.a1 = y.a1 or x.a0 = y.a1 and x.a1 = y.a0 then 2 when x.a0 = y.a0 or x.a0 = y.a1 or x.a1 = y.a0 or x.a1 = y.a1 then 1 else 0 end as shared
+from gt x join gt y on x.rep = y.rep and x.fam = y.fam and x.chrom_idx = y.chrom_idx and x.marker_idx = y.marker_idx and x.id <= y.id""", "individuals", "edges", "map", "drop").replace("\nselect x.rep", ",\ngt as (select rep, fam, id, chrom_idx, marker_idx, max(case when hap = 0 then allele end) as a0, max(case when hap = 1 then allele end) as a1 from d3 group by rep, fam, id, chrom_idx, marker_idx)\nselect x.rep", 1))
+def ibd_states(s, d):
+    people, dropped = _dropped(s, d)
+    return D.ibd_states(dropped, people)
+
+
+@query("trait_file", "select cast(n_regionkey as int) as chrom_idx, cast(n_nationkey as int) as marker_idx, n_nationkey / 4.0e0 as a, 0.5e0 as k, 'height' as name, 'quantitative' as type from nation")
+def trait_file(s, d):
+    rows = V.load(s, d, "nation").select(F.col("n_nationkey").alias("o"), F.concat_ws(" ", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.lit("x"), F.lit("x"), (F.col("n_nationkey") / 4.0).cast("string"), F.lit("0.5")).alias("value"))
+    head = s.createDataFrame([(-1, "quantitative height")], "o long, value string")
+    path = _folder(s) + ".trait"
+    head.unionByName(rows).coalesce(1).orderBy("o").select("value").write.text(path)
+    name, kind, effects = variants.read_trait(s, path)
+    return effects.withColumns({"name": F.lit(name), "type": F.lit(kind)})
+
+
 # mixed models at given components: with an effect of sharing a family, V is e I + a J in each family of n, its inverse
 # (I - a / (e + n a) J) / e and its determinant e^(n - 1) (e + n a)
 

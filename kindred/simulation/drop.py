@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SimulationError
-from ..operators.genealogy import depth, edges
+from ..operators.genealogy import MOST_GENERATIONS, depth, descent, edges
 from ..operators.individuals import is_founder
 from ..plans.tables import cut
 from .random import choice, uniform
@@ -49,9 +49,10 @@ def founder_labels(who: DataFrame, keys: list[str], markers: DataFrame) -> DataF
     return haps.join(markers.select(*LOCUS)).select(*keys, "hap", *LOCUS, F.concat_ws("/", F.col("id").cast("string"), F.col("hap").cast("string")).alias("allele"))
 
 
-def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, seed: int | str = 1, reps: int = 1) -> DataFrame:
+def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, seed: int | str = 1, reps: int = 1, pins: DataFrame | None = None) -> DataFrame:
     """(rep, fam, id, hap, locus, allele): founder haplotypes dropped through the pedigree, all replicates in one pass,
-    one join for each generation. ``founders`` has (fam, id, hap, locus, allele), and rep if they differ by replicate."""
+    one join for each generation. ``founders`` has (fam, id, hap, locus, allele), and rep if they differ by replicate.
+    ``pins`` (of :func:`descent_pins`) fix the strand of some gametes at one marker of a chromosome."""
     spark = individuals.sparkSession
     replicates = spark.range(reps).select(F.col("id").cast("int").alias("rep"))
     if "rep" not in founders.columns:
@@ -64,6 +65,8 @@ def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, s
     for level in range(1, deepest + 1):
         gametes = ways.filter(F.col("depth") == level).select("fam", "id", "parent", F.col("via").alias("hap")).join(replicates)
         chosen = strands(gametes, ["rep", "fam", "id", "hap", "parent"], markers, f"{seed}/drop")
+        if pins is not None:
+            chosen = _pinned(chosen, pins)
         source = known.select("rep", "fam", F.col("id").alias("parent"), F.col("hap").alias("strand"), *LOCUS, "allele")
         made = chosen.join(source, ["rep", "fam", "parent", "strand", *LOCUS]).select(*shape)
         known = known.unionByName(cut(made))
@@ -104,6 +107,64 @@ def constrained_drop(individuals: DataFrame, markers: DataFrame, founders: DataF
     return tried.join(first, "rep").withColumn("rep", F.col("_r")).drop("_r")
 
 
+def descent_pins(individuals: DataFrame, constraints: DataFrame, seed: int | str = 1) -> DataFrame:
+    """(rep-free pins: fam, id, hap, chrom_idx, pin_idx, pin): the strand that gametes must show for ``constraints``
+    (fam, id, ancestor, chrom_idx, marker_idx, chromatid 0 or 1) to hold: the person carries that haplotype of the
+    ancestor. Of several lines of descent one is drawn at each person whose parents both lead to the ancestor.
+
+    Raises if a person does not descend from the ancestor, or if two constraints ask one gamete for different things on
+    one chromosome."""
+    up = edges(individuals).select("fam", F.col("id").alias("at"), "parent", "via")
+    lead = descent(individuals).select("fam", F.col("id").alias("parent"), F.col("anc").alias("ancestor")).distinct()
+    ways = cut(up.join(lead, ["fam", "parent"]))  # (fam, at, parent, via, ancestor): steps that lead to an ancestor
+    asked = cut(constraints.select("fam", "id", "ancestor", *LOCUS, "chromatid").distinct())
+    who = ["fam", "id", "ancestor", *LOCUS, "chromatid"]
+    frontier, taken = asked.withColumn("at", F.col("id")), None
+    for _ in range(MOST_GENERATIONS):
+        step = frontier.join(ways, ["fam", "at", "ancestor"]).groupBy(*who, "at").agg(F.min(F.struct(uniform(f"{seed}/line", "fam", "id", "at", "via").alias("u"), "via", "parent")).alias("x"))
+        step = cut(step.select(*who, "at", "x.via", "x.parent"))
+        if not step.head(1):
+            break
+        taken = step if taken is None else taken.unionByName(step)
+        frontier = step.filter("parent <> ancestor").select(*who, F.col("parent").alias("at"))
+    if taken is None:
+        if asked.head(1):
+            raise SimulationError("a constrained person does not descend from the ancestor")
+        taken = asked.withColumns({"at": F.col("id"), "via": F.lit(0), "parent": F.col("id")})
+    if asked.join(taken.filter("parent = ancestor").select(*who), who, "left_anti").head(1):
+        raise SimulationError("a constrained person does not descend from the ancestor")
+    above = taken.select(*who, F.col("at").alias("parent"), F.col("via").alias("_v"))
+    need = taken.join(above, [*who, "parent"], "left").withColumn("pin", F.when(F.col("parent") == F.col("ancestor"), F.col("chromatid")).otherwise(F.col("_v")))
+    pins = cut(need.select("fam", F.col("at").alias("id"), F.col("via").alias("hap"), "chrom_idx", F.col("marker_idx").alias("pin_idx"), F.col("pin").cast("int").alias("pin")).distinct())
+    if pins.groupBy("fam", "id", "hap", "chrom_idx").count().filter("count > 1").head(1):
+        raise SimulationError("constraints contradict each other, or pin two markers of one chromosome of a gamete")
+    return pins
+
+
+def _pinned(chosen: DataFrame, pins: DataFrame) -> DataFrame:
+    """Strands with those of pinned gametes turned over where they miss the pin. Both strands are as likely and switches
+    do not depend on them, so this is a draw from all gametes that meet the pin, without tries that fail."""
+    keys = ["rep", "fam", "id", "hap", "parent", "chrom_idx"]
+    joined = chosen.join(pins, ["fam", "id", "hap", "chrom_idx"], "left")
+    shown = F.max(F.when(F.col("marker_idx") == F.col("pin_idx"), F.col("strand"))).over(Window.partitionBy(*keys))
+    turned = F.when(F.col("pin") != shown, 1 - F.col("strand")).otherwise(F.col("strand"))
+    return joined.withColumn("strand", turned).drop("pin_idx", "pin")
+
+
+def descent_drop(individuals: DataFrame, markers: DataFrame, constraints: DataFrame, seed: int | str = 1, reps: int = 1) -> DataFrame:
+    """(rep, fam, id, hap, locus, allele): founder labels dropped so that all descent constraints hold."""
+    labels = founder_labels(individuals.filter(is_founder()), ["fam", "id"], markers)
+    return gene_drop(individuals, markers, labels, seed, reps, descent_pins(individuals, constraints, seed))
+
+
+def ibd_states(dropped: DataFrame, who: DataFrame) -> DataFrame:
+    """(rep, fam, locus, id1, id2, shared): as :func:`ibd_sharing`, and each person with themselves: 2 where both labels
+    are the same, else 0."""
+    own = genotypes_of(dropped.join(who.select("fam", "id"), ["fam", "id"], "left_semi"), ["rep", "fam", "id"])
+    alone = own.select("rep", "fam", *LOCUS, F.col("id").alias("id1"), F.col("id").alias("id2"), F.when(F.col("a0") == F.col("a1"), 2).otherwise(0).alias("shared"))
+    return ibd_sharing(dropped, who).unionByName(alone)
+
+
 def random_mating(people: DataFrame, size: int, seed: int | str = 1) -> DataFrame:
     """(child, father, mother, sex): uniform parents of each sex for ``size`` children."""
     ranked = _ranked(people)
@@ -128,8 +189,14 @@ def monogamous_mating(people: DataFrame, size: int, seed: int | str = 1) -> Data
 
 
 def _ranked(people: DataFrame, seed: int | str | None = None) -> DataFrame:
-    order = [F.col("id")] if seed is None else [uniform(f"{seed}/o", "id"), F.col("id")]
-    return people.filter("sex in (0, 1)").select("id", "sex", (F.row_number().over(Window.partitionBy("sex").orderBy(*order)) - 1).cast("long").alias("_k"))
+    """(id, sex, _k): places from 0 among those of a sex, in order of id or of a hash; counted within slices of ids or
+    hashes and by the slices before them, so that no task gets all people of a sex."""
+    u = F.col("id").cast("double") if seed is None else uniform(f"{seed}/o", "id")
+    sliced = people.filter("sex in (0, 1)").select("id", "sex", u.alias("_u"), F.floor(F.col("id") / 100_000 if seed is None else u * 4096).alias("_b"))
+    before = F.sum("_n").over(Window.partitionBy("sex").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    first = sliced.groupBy("sex", "_b").agg(F.count("*").alias("_n")).select("sex", "_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    inner = F.row_number().over(Window.partitionBy("sex", "_b").orderBy("_u", "id")) - 1
+    return sliced.withColumn("_i", inner).join(first, ["sex", "_b"]).select("id", "sex", (F.col("_s") + F.col("_i")).cast("long").alias("_k"))
 
 
 def _parents(drawn: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -56,12 +56,11 @@ def read_vcf(spark: SparkSession, path: str, require_pass: bool = False, frequen
 
 def read_beagle_markers(spark: SparkSession, path: str) -> DataFrame:
     """(marker_idx, label, bp, ref, alts); positions must ascend strictly."""
-    raw = read_lines(spark, path).filter(F.length(F.trim("value")) > 0).select("line", fields().alias("f"))
+    raw = read_lines(spark, path).filter(F.length(F.trim("value")) > 0).select("file", "line", fields().alias("f"))
     f = F.col("f")
-    w = Window.partitionBy(F.lit(0)).orderBy("line")
-    out = raw.select("line", f[0].alias("label"), f[1].cast("long").alias("bp"), f[2].alias("ref"), F.slice(f, 4, F.size(f)).alias("alts"))
-    out = out.withColumns({"marker_idx": (F.row_number().over(w) - 1).cast("int"), "_b": F.lag("bp").over(w)})
-    if out.filter("bp <= _b").head(1):
+    out = placed(raw.select("file", "line", f[0].alias("label"), f[1].cast("long").alias("bp"), f[2].alias("ref"), F.slice(f, 4, F.size(f)).alias("alts")), [], "marker_idx")
+    before = out.select((F.col("marker_idx") + 1).alias("marker_idx"), F.col("bp").alias("_b"))
+    if out.join(before, "marker_idx").filter("bp <= _b").head(1):
         raise FileFormatError("marker positions must ascend strictly")
     return out.select("marker_idx", "label", "bp", "ref", "alts")
 
@@ -85,13 +84,17 @@ def read_beagle(spark: SparkSession, genotypes: str, markers: str | None = None,
 
 def read_genomesimla(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, marker_idx, label, maf, cm, bp): a label line, a count line, then markers with cM steps."""
-    raw = read_lines(spark, path).select("line", "value", fields().alias("f"))
+    raw = read_lines(spark, path).select("file", "line", "value", fields().alias("f"))
     name = raw.filter("line = 0").select(F.trim("value").alias("chrom"))
     f = F.col("f")
-    w = Window.partitionBy(F.lit(0)).orderBy("line")
     body = raw.filter("line > 1").filter(F.size("f") >= 5)
-    out = body.select("line", f[0].alias("label"), f[2].cast("double").alias("maf"), f[3].cast("double").alias("_d"), f[4].cast("long").alias("bp"))
-    out = out.withColumns({"marker_idx": (F.row_number().over(w) - 1).cast("int"), "cm": F.sum("_d").over(w)})
+    out = placed(body.select("file", "line", f[0].alias("label"), f[2].cast("double").alias("maf"), f[3].cast("double").alias("_d"), f[4].cast("long").alias("bp")), [], "marker_idx")
+    # positions add up within slices of markers and by the slices before
+    out = out.withColumn("_slice", F.floor(F.col("marker_idx") / 100_000))
+    ahead = F.sum("_t").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    first = out.groupBy("_slice").agg(F.sum("_d").alias("_t")).select("_slice", F.coalesce(ahead, F.lit(0.0)).alias("_s"))
+    inner = F.sum("_d").over(Window.partitionBy("_slice").orderBy("marker_idx").rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("_in", inner).join(first, "_slice").withColumn("cm", F.col("_s") + F.col("_in"))
     return out.join(F.broadcast(name)).select("chrom", "marker_idx", "label", "maf", "cm", "bp")
 
 
@@ -128,6 +131,20 @@ def read_effects(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(f[0].alias("name"), f[2].cast("int").alias("chrom_idx"), f[3].cast("int").alias("marker_idx"), f[4].cast("double").alias("a"), f[5].cast("double").alias("k"))
 
 
+def read_trait(spark: SparkSession, path: str) -> tuple[str, str, DataFrame]:
+    """(name, type, effects): the first line holds type and name, the others an effect each; raises on lines of other
+    lengths (epistatic effects)."""
+    f = F.col("f")
+    raw = read_lines(spark, path).filter(F.length(F.trim("value")) > 0).select("line", fields().alias("f"))
+    head = raw.orderBy("line").first()
+    if head is None or len(head["f"]) != 2:
+        raise FileFormatError("a trait file starts with type and name")
+    body = raw.filter(F.col("line") > head["line"])
+    if body.filter(F.size("f") != 6).head(1):
+        raise FileFormatError("an effect line has six fields; epistatic effects are not read")
+    return head["f"][1], head["f"][0], body.select(f[0].cast("int").alias("chrom_idx"), f[1].cast("int").alias("marker_idx"), f[4].cast("double").alias("a"), f[5].cast("double").alias("k"))
+
+
 def read_constraints(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(genotype constraints, descent constraints); lines that start with # are comments."""
     f = F.col("f")
