@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import views as V
 from .catalog import MAP, RANKED, _codes, _dropped, _effect_markers, _effects, _folder, _small_map, _text, _u, query
 from .functions import sequences as S
+from .operators import genealogy as G
 from .operators import genotype as T
 from .operators import individuals as P
 from .operators import intervals as I
@@ -308,6 +309,85 @@ def blup_family(s, d):
     beta = lmm.gls(model.blocks(), COMPONENTS)
     return lmm.blup(model, lmm.Fit(model.names(), COMPONENTS, beta, 0.0, 0, 0, "given")).withColumn("blup", F.round("blup", 6))
 
+# coverage of families, autozygosity with gaps, sparse sequences
+
+WITHIN = """pairs as (select start_idx, stop_idx, chrom, floor(id1 / 9) = floor(id2 / 9) as same from segments),
+ev as (select same, chrom, i, sum(d) as d from (select same, chrom, start_idx as i, 1 as d from pairs union all select same, chrom, stop_idx + 1, -1 from pairs) q group by same, chrom, i),
+cov as (select same, chrom, i as start, lead(i) over (partition by same, chrom order by i) - 1 as stop, cast(sum(d) over (partition by same, chrom order by i) as bigint) as value from ev)"""
+V.SQL["within"] = WITHIN
+
+
+def _family_segments(s, d):
+    fam = lambda c: F.floor(F.col(c) / 9)
+    return V.segments(s, d).withColumnsRenamed({"start_idx": "start", "stop_idx": "stop"}).withColumns({"fam1": fam("id1"), "fam2": fam("id2")})
+
+
+@query("coverage_within", V.sql("select chrom, start, stop, value from cov where same and value > 0", "segments", "within"))
+def coverage_within(s, d):
+    return sgs.chromosome_coverage(_family_segments(s, d), only_within=True)
+
+
+@query("coverage_between", V.sql("select p.chrom, p.marker_idx, coalesce(c.value, 0) as value from (select unnest(range(0, 5)) as chrom, p_partkey as marker_idx from part) p left join (select * from cov where not same and value > 0) c on c.chrom = p.chrom and p.marker_idx between c.start and c.stop", "segments", "within"))
+def coverage_between(s, d):
+    markers = V.load(s, d, "part").select(F.explode(F.array(*[F.lit(c) for c in range(5)])).alias("chrom"), F.col("p_partkey").alias("marker_idx"))
+    return sgs.marker_coverage(_family_segments(s, d), markers, only_between=True)
+
+
+@query("autozygosity_gaps", V.sql("""select id, chrom_idx, min(start) as start, max(stop) as stop from (select *, sum(o) over (partition by id, chrom_idx order by start) as g from (select *, case when start - lag(stop) over (partition by id, chrom_idx order by start) <= 3 then 0 else 1 end as o
+from (select id, chrom_idx, min(marker_idx) as start, max(marker_idx) as stop from (select *, sum(case when e then 0 else 1 end) over (partition by id, chrom_idx order by marker_idx) as k
+from (select id, chrom_idx, marker_idx, (a0 is not distinct from a1) as e from genotypes) q) q where e group by id, chrom_idx, k having max(marker_idx) - min(marker_idx) >= 1) r) r) r group by id, chrom_idx, g""", "genotypes"))
+def autozygosity_gaps(s, d):
+    return sgs.autozygous(V.genotypes(s, d), 1, max_gap=3)
+
+
+@query("sparse_writes", V.sql("""select vec_id, cast(x[6] as varchar) || ',' || cast(x[2] as varchar) as took, list_aggregate(list_filter(x, lambda v, i: i % 2 = 1), 'string_agg', ',') as masked,
+'1,' || cast(x[2] as varchar) || ',0,' || list_aggregate(x[4:7], 'string_agg', ',') as put, cast(x[1] as varchar) || ',1,0,1,' || list_aggregate(x[5:7], 'string_agg', ',') as sliced,
+list_aggregate(list_transform(x, lambda v: 1), 'string_agg', ',') as filled, list_aggregate(list_transform(x, lambda v: cast(v < 1 as int)), 'string_agg', ',') as less,
+list_aggregate(list_transform(list_zip(x, list_reverse(x)), lambda p: cast(p[1] >= p[2] as int)), 'string_agg', ',') as least, list_aggregate(list_transform(x, lambda v: 1 - v), 'string_agg', ',') as negated from codes""", "codes"))
+def sparse_writes(s, d):
+    rows = _codes(s, d)
+    rows = rows.withColumns({"m": S.sparse_from_dense(F.col("x"), F.lit(0)), "w": S.sparse_from_dense(F.reverse("x"), F.lit(0))})
+    m, zero, seven = F.col("m"), F.lit(0), F.lit(7)
+    dense = lambda c: _text(S.sparse_to_dense(c, seven, zero))
+    flags = lambda p: _text(F.transform(S.sparse_to_dense(p[0], seven, p[1]), lambda b: b.cast("int")))
+    odd, ints = F.transform(F.col("x"), lambda v, i: i % 2 == 0), lambda *v: F.array(*[F.lit(k) for k in v])
+    return rows.select(
+        "vec_id", _text(S.sparse_take(m, ints(5, 1), zero)).alias("took"), _text(S.sparse_mask(m, odd, zero)).alias("masked"), dense(S.sparse_put(m, ints(0, 2, 0), ints(0, 0, 1), zero)).alias("put"),
+        dense(S.sparse_put_slice(m, 1, 4, ints(1, 0, 1), zero)).alias("sliced"), dense(S.sparse_put_mask(m, F.transform(F.col("x"), lambda v: v == 0), F.lit(1), zero)).alias("filled"),
+        flags(S.sparse_compare(m, F.lit(1), zero, "<")).alias("less"), flags(S.sparse_compare_both(m, F.col("w"), zero, zero, ">=")).alias("least"), flags(S.sparse_not(*S.sparse_compare(m, F.lit(1), zero, "=="))).alias("negated"),
+    )
+
+
+# the information of variance components, effects with levels, linkage of each family
+
+
+@query("information", V.sql("""select 0 as i, 0 as j, round(sum(power(n / (1.3e0 + n * 0.7e0), 2)) / 2, 6) as value from g union all select 0, 1, round(sum(n / power(1.3e0 + n * 0.7e0, 2)) / 2, 6) from g
+union all select 1, 0, round(sum(n / power(1.3e0 + n * 0.7e0, 2)) / 2, 6) from g union all select 1, 1, round(sum((n - 1) / power(1.3e0, 2) + 1 / power(1.3e0 + n * 0.7e0, 2)) / 2, 6) from g""", "phenotypes", "sums"))
+def information(s, d):
+    blocks = _family_model(s, d).blocks()
+    _, _, c, _ = lmm.loglikelihood(blocks, COMPONENTS)
+    found = lmm.expected_information(blocks, COMPONENTS, c)
+    return s.createDataFrame([(i, j, round(float(found[i, j]), 6)) for i in (0, 1) for j in (0, 1)], "i int, j int, value double")
+
+
+@query("level_effect", V.sql("select a.fam, a.id as id1, b.id as id2, 1e0 as value from individuals a join individuals b on a.fam = b.fam and a.sex = b.sex", "individuals"))
+def level_effect(s, d):
+    return lmm.MixedModel(V.individuals(s, d), "sex").with_levels("sex", "sex").effects[0][1]
+
+
+@query("linkage_families")
+def linkage_families(s, d):
+    """No SQL: iterative fits, one for each family."""
+    people = V.individuals(s, d)
+    wide = P.phenotype_table(V.phenotypes(s, d), ["balance"])
+    data = wide.select("fam", "id", (F.col("balance") / 1000).alias("y"))
+    dropped = D.gene_drop(people, _small_map(s), D.founder_labels(P.founders(people), ["fam", "id"], _small_map(s)), 5)
+    at = D.ibd_states(dropped.filter("chrom_idx = 0 and marker_idx = 2"), people).filter("id1 <> id2").select("fam", "id1", "id2", (F.col("shared") / 2).alias("value"))
+    turned = at.select("fam", F.col("id2").alias("id1"), F.col("id1").alias("id2"), "value")
+    alone = people.select("fam", F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("value"))
+    return lmm.linkage_by_family(lmm.MixedModel(data, "y").with_effect("additive", programs.cut(G.additive(people))), at.unionByName(turned).unionByName(alone))
+
+
 
 # files: written to the shared folder from the views, and read back
 

@@ -91,6 +91,63 @@ def sparse_to_dense(m: Column, size: Column, ref: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.element_at(m, i), ref))
 
 
+def sparse_take(m: Column, places: Column, ref: Column) -> Column:
+    """Values at a list of places, in its order."""
+    return F.transform(places, lambda k: F.coalesce(F.element_at(m, k), ref))
+
+
+def sparse_mask(m: Column, mask: Column, ref: Column) -> Column:
+    """Values where an array of booleans holds, in order of place."""
+    return sparse_take(m, _places(mask), ref)
+
+
+def _places(mask: Column) -> Column:
+    kept = F.filter(F.transform(mask, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda e: F.coalesce(e["b"], F.lit(False)))
+    return F.transform(kept, lambda e: e["i"])
+
+
+def sparse_put(m: Column, places: Column, values: Column, ref: Column) -> Column:
+    """Values written at a list of places; of a place named twice the last value stays. Raises if the lengths differ."""
+    n = F.size(places)
+    pairs = F.zip_with(F.sequence(F.lit(0), n - 1), F.arrays_zip(places.alias("k"), values.alias("v")), lambda i, e: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
+    last = F.filter(pairs, lambda e: (e["i"] == n - F.array_position(F.reverse(places), e["k"])) & (e["v"] != ref))
+    written = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    rest = F.map_filter(m, lambda k, v: ~F.array_contains(places, k))
+    done = F.when(n == 0, m).otherwise(F.map_concat(rest, written))
+    return F.when(n == F.size(values), done).otherwise(F.raise_error(F.lit("places and values of different lengths")))
+
+
+def sparse_put_slice(m: Column, start: int, stop: int, values: Column, ref: Column) -> Column:
+    """Values written over the half-open slice."""
+    return sparse_put(m, F.when(F.lit(stop > start), F.sequence(F.lit(start), F.lit(stop - 1))).otherwise(F.array().cast("array<int>")), values, ref)
+
+
+def sparse_put_mask(m: Column, mask: Column, value: Column, ref: Column) -> Column:
+    """One value written wherever the mask holds."""
+    places = _places(mask)
+    return sparse_put(m, places, F.array_repeat(value, F.size(places)), ref)
+
+
+def sparse_compare(m: Column, value: Column, ref: Column, how: str) -> tuple[Column, Column]:
+    """(map of booleans, its reference value): every place compared with one value ('<', '<=', '>', '>=', '==', '!=')
+    without making the sequence dense: places that differ from the reference's answer are kept."""
+    test = {"<": lambda x: x < value, "<=": lambda x: x <= value, ">": lambda x: x > value, ">=": lambda x: x >= value, "==": lambda x: x == value, "!=": lambda x: x != value}[how]
+    answers = F.transform_values(m, lambda k, v: test(v))
+    return F.map_filter(answers, lambda k, v: v != test(ref)), test(ref)
+
+
+def sparse_compare_both(a: Column, b: Column, ref_a: Column, ref_b: Column, how: str) -> tuple[Column, Column]:
+    """(map of booleans, its reference value) of two sequences compared place by place."""
+    test = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y}[how]
+    answers = F.map_zip_with(a, b, lambda k, x, y: test(F.coalesce(x, ref_a), F.coalesce(y, ref_b)))
+    return F.map_filter(answers, lambda k, v: v != test(ref_a, ref_b)), test(ref_a, ref_b)
+
+
+def sparse_not(m: Column, ref: Column) -> tuple[Column, Column]:
+    """(map, reference value) of the negation of a sequence of booleans."""
+    return F.transform_values(m, lambda k, v: ~v), ~ref
+
+
 def sparse_equal(a: Column, b: Column, size: Column, ref_a: Column, ref_b: Column) -> Column:
     return F.zip_with(sparse_to_dense(a, size, ref_a), sparse_to_dense(b, size, ref_b), lambda x, y: x == y)
 

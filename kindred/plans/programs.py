@@ -72,6 +72,45 @@ def pedigree_replicates(people: DataFrame, markers: DataFrame, trait: Trait, rep
     return genotypes, trait.predict(tagged, f"{seed}/e")
 
 
+def write_replicates(people: DataFrame, markers: DataFrame, dropped: DataFrame, founders: DataFrame, path: str, with_ibd: bool = False, compression: str | None = None) -> None:
+    """Replicates of a labelled drop as files: genotypes by founder alleles (and states of pairs by descent), a folder
+    rep=N for each replicate, all replicates in one job. ``founders``: (fam, id, hap, locus, allele)."""
+    options = {"compression": compression} if compression else {}
+    real = D.delabel(D.spans(dropped, ["rep", "fam", "id"]), founders.select("id", "hap", *T.LOCUS, "allele"), ["rep", "fam", "id"])
+    D.genotypes_of(real, ["rep", "fam", "id"]).write.partitionBy("rep").options(**options).csv(path + "/genotypes", header=True)
+    G.edges(people).write.options(**options).csv(path + "/pedigree", header=True)
+    markers.write.options(**options).csv(path + "/map", header=True)
+    if with_ibd:
+        D.ibd_states(dropped, people).write.partitionBy("rep").options(**options).csv(path + "/ibd", header=True)
+
+
+def constrained_replicates(people: DataFrame, markers: DataFrame, constraints: DataFrame, reps: int, path: str, seed: int | str = 1, with_ibd: bool = False) -> DataFrame:
+    """Replicates in which all descent constraints hold, written to ``path``; gives the labelled haplotypes."""
+    dropped = cut(D.descent_drop(people, markers, constraints, seed, reps))
+    founders = cut(D.equilibrium_haplotypes(P.founders(people), ["fam", "id"], markers, f"{seed}/f"))
+    write_replicates(people, markers, dropped, founders, path, with_ibd)
+    return dropped
+
+
+def association_of_alleles(data: DataFrame, people: DataFrame, genotypes: DataFrame, outcome: str, fixed: tuple[str, ...] = (), method: str = "ai") -> DataFrame:
+    """(locus, allele, n, frequency, beta, chi2, lod): each allele of a marker but its most frequent one tested against
+    all others, in order of chi-squared."""
+    model = lmm.MixedModel(data, outcome, fixed).with_effect("additive", cut(G.additive(people)))
+    rare = frequencies(genotypes).filter("not major").select(*T.LOCUS, "allele")
+    codes = rare.withColumn("_k", F.dense_rank().over(Window.partitionBy(*T.LOCUS).orderBy("allele")).cast("int"))
+    named = genotypes.filter("a0 is not null and a1 is not null").join(codes, T.LOCUS)
+    dose = (F.col("a0") == F.col("allele")).cast("int") + (F.col("a1") == F.col("allele")).cast("int")
+    most = codes.agg(F.max("_k")).first()[0] or 0  # alleles of one marker
+    null = model.fit(method=method)
+    tests = None
+    for k in range(1, most + 1):
+        one = lmm.association(model, null, named.filter(F.col("_k") == k).select("fam", "id", *T.LOCUS, dose.alias("dose"))).withColumn("_k", F.lit(k))
+        tests = one if tests is None else tests.unionByName(one)
+    if tests is None:
+        raise ValueError("no marker has two alleles")
+    return tests.join(codes, [*T.LOCUS, "_k"]).drop("_k").orderBy(F.desc("chi2"))
+
+
 def grow_pool(markers: DataFrame, size: int, growth: Callable[[int], int], generations: int, seed: int | str = 1) -> tuple[DataFrame, int]:
     return D.pool_evolve(D.pool_start(markers.sparkSession, markers, size, seed), markers, size, growth, generations, seed)
 

@@ -109,3 +109,26 @@ def test_population_moves_forward(spark):
         assert last.count() == 20 and haplotypes.count() == 20 * 2 * 2
     pool, size = N.pool_of(haplotypes, ["id"])
     assert size == 40 and pool.agg(F.countDistinct("hap_id")).first()[0] == 40
+
+
+def test_constrained_replicates_write_their_files(spark, tmp_path):
+    from kindred.plans import programs
+
+    people = spark.createDataFrame([(0, 0, None, None, 0), (0, 1, None, None, 1), (0, 2, 0, 1, 0)], "fam long, id long, father long, mother long, sex int")
+    markers = spark.createDataFrame([(0, 0, 0.0, 0.5), (0, 1, 10.0, 0.5)], "chrom_idx int, marker_idx int, cm double, maf double")
+    asked = spark.createDataFrame([(0, 2, 0, 0, 1, 0)], "fam long, id long, ancestor long, chrom_idx int, marker_idx int, chromatid int")
+    path = f"file://{tmp_path}/out"
+    programs.constrained_replicates(people, markers, asked, 3, path, 7, with_ibd=True)
+    assert spark.read.csv(path + "/genotypes", header=True).count() == 3 * 3 * 2
+    ibd = spark.read.csv(path + "/ibd", header=True, inferSchema=True)
+    assert ibd.count() == 3 * 2 * 6  # three pairs, and each person alone
+    assert ibd.filter("id1 = 0 and id2 = 2 and shared <> 1").count() == 0
+
+
+def test_alleles_are_tested_each_against_the_rest(spark, model):
+    from kindred.plans import programs
+
+    people = spark.createDataFrame([(f, i, None if i < 2 else 0, None if i < 2 else 1, i % 2) for f in range(30) for i in range(5)], "fam long, id long, father long, mother long, sex int")
+    genotypes = people.select("fam", "id", F.lit(0).alias("chrom_idx"), F.lit(4).alias("marker_idx"), (1 + (F.col("fam") + F.col("id")) % 2).cast("int").alias("a0"), F.when((F.col("fam") + F.col("id")) % 7 == 0, 3).otherwise(1).alias("a1"))
+    got = {r.allele: r for r in programs.association_of_alleles(model.data, people, genotypes, "y").collect()}
+    assert set(got) == {2, 3} and all(r.chi2 >= 0 for r in got.values())
