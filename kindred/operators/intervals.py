@@ -6,12 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def runs(df: DataFrame, keys: list[str], order: str, holds: Column, min_length: int = 2) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int | None = None) -> DataFrame:
+    """``df`` with the running sum of ``value`` in order. With ``span``, a key is split into slices of so many order
+    values: sums run within slices, and each slice starts from the total of those before it, so that one long sequence
+    is spread over many tasks. Order values are numbers without ties."""
+    if span is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    sliced = df.withColumns({"_value": value, "_slice": F.floor(F.col(order) / span)})
+    own = [*keys, "_slice"]
+    totals = sliced.groupBy(*own).agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(_ordered(keys, "_slice").rowsBetween(Window.unboundedPreceding, -1))
+    first = totals.select(*own, F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.sum("_value").over(Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return sliced.withColumn("_inner", inner).join(first, own).withColumn(name, F.col("_before") + F.col("_inner")).drop("_value", "_slice", "_before", "_inner")
+
+
+def _ordered(keys: list[str], order: str):
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+
+
+def runs(df: DataFrame, keys: list[str], order: str, holds: Column, min_length: int = 2, span: int | None = None) -> DataFrame:
     """(keys, start, stop): maximal runs of ``order`` values where ``holds``, both ends inside, kept if
-    stop - start >= ``min_length`` (so a run has at least one more element than that)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    breaks = F.sum(F.when(F.coalesce(holds, F.lit(False)), 0).otherwise(1)).over(w)
-    islands = df.withColumns({"_h": F.coalesce(holds, F.lit(False)), "_g": breaks}).filter("_h")
+    stop - start >= ``min_length`` (so a run has at least one more element than that). ``span`` as in :func:`running`."""
+    marked = df.withColumn("_h", F.coalesce(holds, F.lit(False)))
+    islands = running(marked, keys, order, F.when(F.col("_h"), 0).otherwise(1), "_g", span).filter("_h")
     found = islands.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("stop"))
     return found.filter(F.col("stop") - F.col("start") >= min_length).drop("_g")
 
@@ -41,12 +59,22 @@ def rasterise(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return spread(coverage(intervals, keys), keys)
 
 
-def coverage(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, stop, value): stretches of equal positive coverage."""
+def coverage(intervals: DataFrame, keys: list[str], span: int | None = None) -> DataFrame:
+    """(keys, start, stop, value): stretches of equal positive coverage. With ``span``, as in :func:`running`: sums and
+    the ends of stretches are found within slices, and from the table of slices at their edges."""
     events = intervals.select(*keys, F.col("start").alias("i"), F.lit(1).alias("d")).unionByName(intervals.select(*keys, (F.col("stop") + 1).alias("i"), F.lit(-1).alias("d")))
     summed = events.groupBy(*keys, "i").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    out = summed.withColumns({"value": F.sum("d").over(w), "_next": F.lead("i").over(w)})
+    if span is None:
+        w = Window.partitionBy(*keys).orderBy("i")
+        out = summed.withColumns({"value": F.sum("d").over(w), "_next": F.lead("i").over(w)})
+    else:
+        own = [*keys, "_slice"]
+        sliced = summed.withColumn("_slice", F.floor(F.col("i") / span))
+        edge = sliced.groupBy(*own).agg(F.sum("d").alias("_d"), F.min("i").alias("_first"))
+        w, inner = _ordered(keys, "_slice"), Window.partitionBy(*own).orderBy("i")
+        edge = edge.select(*own, F.coalesce(F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"), F.lead("_first").over(w).alias("_after"))
+        out = sliced.withColumns({"_in": F.sum("d").over(inner), "_lead": F.lead("i").over(inner)}).join(edge, own)
+        out = out.withColumns({"value": F.col("_s") + F.col("_in"), "_next": F.coalesce("_lead", "_after")})
     return out.filter("value > 0").select(*keys, F.col("i").alias("start"), (F.col("_next") - 1).alias("stop"), "value")
 
 

@@ -74,3 +74,17 @@ def test_segments_found_and_filtered(spark):
     assert found[(0, 1, 2)] == (0, 39) and found[(0, 2, 2)] == (10, 29) and found[(0, 2, 1)] == (0, 39)
     matrix = sgs.ibd_matrix(spark.createDataFrame([(0,), (1,)], "id int"), spark.createDataFrame([(0, 1, 0, 5, 9)], "id1 int, id2 int, chrom int, start long, stop long"), 0, 7)
     assert {(r.id1, r.id2): r.value for r in matrix.collect()} == {(0, 1): 0.5, (0, 0): 1, (1, 1): 1}
+
+
+def test_slices_give_what_one_window_gives(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.operators import intervals as I
+
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("i"), (F.hash("id") % 5).alias("v"))
+    spans = rows.select("k", F.col("i").alias("start"), (F.col("i") + F.abs("v") * 7).alias("stop")).filter("start % 11 < 4")
+    same = lambda a, b: a.exceptAll(b.select(a.columns)).count() == 0 and b.count() == a.count()
+    assert same(I.running(rows, ["k"], "i", F.col("v"), "s"), I.running(rows, ["k"], "i", F.col("v"), "s", 37))
+    assert same(I.runs(rows, ["k"], "i", F.col("v") > -2, 1), I.runs(rows, ["k"], "i", F.col("v") > -2, 1, 37))
+    assert same(I.coverage(spans, ["k"]), I.coverage(spans, ["k"], 37))
+    assert I.coverage(spans.limit(0), ["k"], 37).count() == 0
