@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, duck, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["sgs_segments", "lmm_ml", "assoc_scan", "drift"])
+@pytest.mark.parametrize("name", ["sgs_segments", "lmm_ml", "assoc_scan", "drift", "linkage_families"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
