@@ -18,7 +18,7 @@ from .simulation import drop as D
 from .simulation import population as N
 from .simulation import trait as Q
 from .sources import pedigrees, variants
-from .stats import lmm
+from .stats import lmm, scan
 
 # updates
 
@@ -389,6 +389,17 @@ def linkage_families(s, d):
 
 
 
+@query("assoc_refit")
+def assoc_refit(s, d):
+    """No SQL: iterative fits, one for each marker."""
+    wide = P.phenotype_table(V.phenotypes(s, d), ["balance", "n_orders"])
+    data = wide.select("fam", "id", (F.col("balance") / 1000).alias("y"), F.col("n_orders").alias("x"))
+    model = lmm.MixedModel(data, "y", ("x",)).with_effect("additive", programs.cut(G.additive(V.individuals(s, d))))
+    doses = V.genotypes(s, d).select("fam", "id", "chrom_idx", "marker_idx", Q.copies().alias("dose"))
+    return scan.association_refit(model, model.fit(), doses)
+
+
+
 # files: written to the shared folder from the views, and read back
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators import genotype as T
 from ..operators import individuals as P
 from ..simulation import drop as D
 from ..simulation.trait import Trait
-from ..stats import lmm
+from ..stats import lmm, scan
 from .tables import cut
 
 
@@ -111,6 +112,25 @@ def association_of_alleles(data: DataFrame, people: DataFrame, genotypes: DataFr
     return tests.join(codes, [*T.LOCUS, "_k"]).drop("_k").orderBy(F.desc("chi2"))
 
 
+def refit_association(model: lmm.MixedModel, genotypes: DataFrame, markers: DataFrame, regions: list[tuple[int, int, int]] | None = None, only: list[str] | None = None, method: str = "ai") -> DataFrame:
+    """(locus, bp, label, major, allele, n, frequency, beta, se, chi2, lod, pvalue, ...): each allele of a marker but its
+    most frequent one, by likelihood ratio with components fitted again, in order of chi-squared. ``regions``: (chromosome,
+    first bp, last bp); ``only``: labels of markers."""
+    here = markers.select(*T.LOCUS, "bp", "label")
+    if regions is not None:
+        inside = [(F.col("chrom_idx") == c) & F.col("bp").between(a, b) for c, a, b in regions]
+        here = here.filter(reduce(lambda p, q: p | q, inside, F.lit(False)))
+    if only is not None:
+        here = here.filter(F.col("label").isin(only))
+    near = genotypes.join(here.select(*T.LOCUS), T.LOCUS, "left_semi")
+    found = cut(frequencies(near))
+    codes = found.filter("not major").select(*T.LOCUS, "allele").join(found.filter("major").select(*T.LOCUS, F.col("allele").alias("major")), T.LOCUS)
+    named = near.filter("a0 is not null and a1 is not null").join(codes, T.LOCUS)
+    dose = (F.col("a0") == F.col("allele")).cast("int") + (F.col("a1") == F.col("allele")).cast("int")
+    tests = scan.association_refit(model, model.fit(method=method), named.select("fam", "id", *T.LOCUS, "allele", dose.alias("dose")), (*T.LOCUS, "allele"))
+    return tests.join(codes, [*T.LOCUS, "allele"]).join(here, T.LOCUS).orderBy(F.desc("chi2"), *T.LOCUS, "allele")
+
+
 def grow_pool(markers: DataFrame, size: int, growth: Callable[[int], int], generations: int, seed: int | str = 1) -> tuple[DataFrame, int]:
     return D.pool_evolve(D.pool_start(markers.sparkSession, markers, size, seed), markers, size, growth, generations, seed)
 
