@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, block_mix, html_tree, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, rtree_join, simple8b, url_filter
+from . import binpack, block_mix, fm_index, html_tree, maxscore, mpeg_audio, prefix_tokens, pu_quality, quality_cascade, resample, rtree_join, simple8b, url_filter
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
@@ -109,6 +109,18 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_quality_cascade": op2_quality_cascade,
@@ -120,5 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_html_tree": op9_html_tree,
     "op10_pu_quality": op10_pu_quality,
+    "op11_resample": op11_resample,
+    "op12_fm_index": op12_fm_index,
+    "op13_maxscore": op13_maxscore,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": OP2_SQL, "op8_url_filter": url_filter.sql()}
+ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": OP2_SQL, "op8_url_filter": url_filter.sql(), "op11_resample": resample.SQL, "op12_fm_index": fm_index.SQL, "op13_maxscore": maxscore.SQL}
