@@ -198,10 +198,41 @@ def closest_marker(s, d):
     return I.nearest(probes, V.markers(s, d), ["chrom_idx"]).select("event_id", "pos", "marker_idx")
 
 
-@query("sgs_segments", None)
+def _sgs(pairs: str, seed: int, length: float, density: float, missing: float) -> str:
+    """Runs of sharing as gaps and islands over the states of pairs, by level, joined, filtered and laid together."""
+    return V.sql(f"""
+select id1, id2, chrom_idx, ibd, cast(min(start) as bigint) as start, cast(max(stop) as bigint) as stop
+from (select *, sum(o) over (partition by id1, id2, chrom_idx, ibd order by start, stop) as k
+      from (select *, case when start - max(stop) over (partition by id1, id2, chrom_idx, ibd order by start, stop rows between unbounded preceding and 1 preceding) <= 1 then 0 else 1 end as o
+            from (select id1, id2, chrom_idx, unnest(case when least = 2 then [1, 2] else [1] end) as ibd, start, stop from kept) q) q) q
+group by id1, id2, chrom_idx, ibd, k having max(stop) - min(start) >= 1""", "genotypes").replace("\nselect id1", f""",
+st as (select x.id as id1, y.id as id2, x.chrom_idx, x.marker_idx as i, case when x.a0 is null or x.a1 is null or y.a0 is null or y.a1 is null then 64
+  when x.a0 = y.a0 and x.a1 = y.a1 or x.a0 = y.a1 and x.a1 = y.a0 then 2 when x.a0 = y.a0 or x.a0 = y.a1 or x.a1 = y.a0 or x.a1 = y.a1 then 1 else 0 end as state
+  from genotypes x join genotypes y on {pairs} and x.chrom_idx = y.chrom_idx and x.marker_idx = y.marker_idx and x.id < y.id),
+lv as (select *, unnest([1, 2]) as least from st),
+isl as (select *, sum(case when state >= least then 0 else 1 end) over (partition by id1, id2, chrom_idx, least order by i) as g from lv),
+rn as (select id1, id2, chrom_idx, least, min(i) as start, max(i) as stop from isl where state >= least group by id1, id2, chrom_idx, least, g having max(i) - min(i) >= {seed}),
+op as (select *, case when start - lag(stop) over (partition by id1, id2, chrom_idx, least order by start) <= 2 then 0 else 1 end as o from rn),
+tr as (select id1, id2, chrom_idx, least, min(start) as start, max(stop) as stop from (select *, sum(o) over (partition by id1, id2, chrom_idx, least order by start) as k from op) q group by id1, id2, chrom_idx, least, k),
+kept as (select tr.id1, tr.id2, tr.chrom_idx, least, start, stop from tr left join st on st.id1 = tr.id1 and st.id2 = tr.id2 and st.chrom_idx = tr.chrom_idx and st.i >= start and st.i < stop and st.state = 64
+  where (stop - start) / 10.0 >= {length} and (stop - start) >= {density} * ((stop - start) / 10.0)
+  group by tr.id1, tr.id2, tr.chrom_idx, least, start, stop having count(st.i) <= {missing} * (stop - start))
+select id1""", 1)
+
+
+def _loci(s):
+    """Places of the loci of every chromosome, 0.1 Mb apart."""
+    return s.range(V.LOCI).crossJoin(s.range(1, 8).withColumnRenamed("id", "c")).select(F.col("c").cast("int").alias("chrom_idx"), F.col("id").cast("int").alias("marker_idx"), (F.col("id") * 100_000).alias("bp"))
+
+
+@query("sgs_segments", _sgs("x.fam = y.fam", 3, 0.2, 1.0, 0.5))
 def sgs_segments(s, d):
-    m = s.range(V.LOCI).crossJoin(s.range(1, 8).withColumnRenamed("id", "c")).select(F.col("c").cast("int").alias("chrom_idx"), F.col("id").cast("int").alias("marker_idx"), (F.col("id") * 100_000).alias("bp"))
-    return sgs.detect(V.genotypes(s, d), m, seed_size=3, min_length=0.2, min_density=1.0, max_missing=0.5, within="fam")
+    return sgs.detect(V.genotypes(s, d), _loci(s), seed_size=3, min_length=0.2, min_density=1.0, max_missing=0.5, within="fam")
+
+
+@query("sgs_population", _sgs("true", 30, 3.0, 1.0, 0.02))
+def sgs_population(s, d):
+    return sgs.detect(V.genotypes(s, d), _loci(s), seed_size=30, min_length=3.0, min_density=1.0, max_missing=0.02)
 
 
 @query("autozygosity", V.sql("""select id, chrom_idx, min(marker_idx) as start, max(marker_idx) as stop from (select *, sum(case when e then 0 else 1 end) over (partition by id, chrom_idx order by marker_idx) as k
