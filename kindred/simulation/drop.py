@@ -6,6 +6,7 @@ a running count of switches tells: between markers d cM apart a switch has the H
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from ..errors import SimulationError
 from ..operators.genealogy import MOST_GENERATIONS, depth, descent, edges
 from ..operators.individuals import is_founder
-from ..plans.tables import cut
+from ..plans.tables import cut, discard
 from .random import choice, uniform
+from .trait import Trait
 
 LOCUS = ["chrom_idx", "marker_idx"]
 
@@ -49,12 +51,13 @@ def founder_labels(who: DataFrame, keys: list[str], markers: DataFrame) -> DataF
     return haps.join(markers.select(*LOCUS)).select(*keys, "hap", *LOCUS, F.concat_ws("/", F.col("id").cast("string"), F.col("hap").cast("string")).alias("allele"))
 
 
-def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, seed: int | str = 1, reps: int = 1, pins: DataFrame | None = None) -> DataFrame:
+def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, seed: int | str = 1, reps: int | DataFrame = 1, pins: DataFrame | None = None) -> DataFrame:
     """(rep, fam, id, hap, locus, allele): founder haplotypes dropped through the pedigree, all replicates in one pass,
     one join for each generation. ``founders`` has (fam, id, hap, locus, allele), and rep if they differ by replicate.
-    ``pins`` (of :func:`descent_pins`) fix the strand of some gametes at one marker of a chromosome."""
+    ``pins`` (of :func:`descent_pins`) fix the strand of some gametes at markers of a chromosome. ``reps`` is their number, or a
+    frame (rep) of those to draw: a replicate's draws depend on its number only."""
     spark = individuals.sparkSession
-    replicates = spark.range(reps).select(F.col("id").cast("int").alias("rep"))
+    replicates = spark.range(reps).select(F.col("id").cast("int").alias("rep")) if isinstance(reps, int) else reps.select("rep")
     if "rep" not in founders.columns:
         founders = founders.join(replicates)
     shape = ["rep", "fam", "id", "hap", *LOCUS, "allele"]
@@ -66,7 +69,7 @@ def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, s
         gametes = ways.filter(F.col("depth") == level).select("fam", "id", "parent", F.col("via").alias("hap")).join(replicates)
         chosen = strands(gametes, ["rep", "fam", "id", "hap", "parent"], markers, f"{seed}/drop")
         if pins is not None:
-            chosen = _pinned(chosen, pins)
+            chosen = _pinned(chosen, pins, markers, f"{seed}/drop")
         source = known.select("rep", "fam", F.col("id").alias("parent"), F.col("hap").alias("strand"), *LOCUS, "allele")
         made = chosen.join(source, ["rep", "fam", "parent", "strand", *LOCUS]).select(*shape)
         known = known.unionByName(cut(made))
@@ -95,16 +98,53 @@ def ibd_sharing(dropped: DataFrame, who: DataFrame) -> DataFrame:
     return x.join(y, ["rep", "fam", *LOCUS]).filter("id1 < id2").select("rep", "fam", *LOCUS, "id1", "id2", F.when(both, 2).when(one, 1).otherwise(0).alias("shared"))
 
 
-def constrained_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, accept: Callable[[DataFrame], DataFrame], seed: int | str = 1, reps: int = 1, attempts: int = 16) -> DataFrame:
-    """Gene drop by rejection: ``accept`` maps dropped haplotypes (rep) to the replicates that meet the constraints;
-    each replicate takes its first accepted try, and raises if none of ``attempts`` is."""
-    tried = gene_drop(individuals, markers, founders, seed, reps * attempts)
-    tried = cut(tried)
-    good = accept(tried).select("rep").distinct()
-    first = cut(good.groupBy(F.floor(F.col("rep") / attempts).cast("int").alias("_r")).agg(F.min("rep").alias("rep")))
-    if first.count() < reps:
-        raise SimulationError("some replicates met no accepted try")
-    return tried.join(first, "rep").withColumn("rep", F.col("_r")).drop("_r")
+def constrained_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, accept: Callable[[DataFrame], DataFrame], seed: int | str = 1, reps: int = 1, attempts: int = 1000, first: int = 4) -> DataFrame:
+    """Gene drop by rejection: ``accept`` maps dropped haplotypes (rep) to the replicates (rep) that meet the constraints, family
+    by family if it gives (rep, fam). Each takes its first accepted try. Tries are drawn for what is still open only,
+    ``first`` of them and then twice as many each time; accepted tries are written to the shared folder. Raises if any
+    replicate is open after ``attempts`` tries. Try t of replicate r has the draws of replicate r * attempts + t."""
+    if reps < 1:
+        return gene_drop(individuals, markers, founders, seed, 0)
+    open_ = cut(individuals.select("fam").distinct().select("fam", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("_r")), "open")
+    taken, done, step = [], 0, first
+    while open_.head(1):
+        if done == attempts:
+            raise SimulationError("some replicates met no accepted try")
+        tries = min(step, attempts - done)
+        wanted = open_.select("_r", "fam", F.explode(F.sequence(F.lit(done), F.lit(done + tries - 1))).alias("_t")).withColumn("rep", F.col("_r") * attempts + F.col("_t"))
+        here = individuals.join(open_.select("fam").distinct(), "fam", "left_semi")
+        mine = founders.join(open_.select("fam").distinct(), "fam", "left_semi")
+        tried = gene_drop(here, markers, mine, seed, wanted.select("rep").distinct())
+        tried = cut(tried.join(wanted.select("rep", "fam"), ["rep", "fam"], "left_semi"), "tries")
+        good = accept(tried)
+        whole = "fam" not in good.columns
+        met = good.select("rep").distinct().join(wanted, "rep") if whole else good.select("rep", "fam").distinct().join(wanted, ["rep", "fam"])
+        won = cut(met.groupBy("_r", "fam").agg(F.min("rep").alias("rep")), "won")
+        taken.append(cut(tried.join(won, ["rep", "fam"]).withColumn("rep", F.col("_r").cast("int")).drop("_r"), "accepted"))
+        left = cut(open_.join(won, ["_r", "fam"], "left_anti"), "open")
+        discard(tried, won, open_)
+        open_, done, step = left, done + tries, step * 2
+    discard(open_)
+    return reduce(DataFrame.unionByName, taken)
+
+
+def drop_until_trait(individuals: DataFrame, markers: DataFrame, founders: DataFrame, trait: Trait, affected: DataFrame, seed: int | str = 1, reps: int = 1, accuracy: float = 0.9, attempts: int = 1000, first: int = 4) -> DataFrame:
+    """(rep, fam, id, hap, locus, allele): replicates in which the trait foretells, in each family, at least the share
+    ``accuracy`` of the known affections (fam, id, affected 0 or 1, null unknown). ``founders`` may have alleles or be labels
+    filled in before; a family without any known affection raises, as it can never be judged."""
+    known = affected.filter("affected is not null").select("fam", "id", F.col("affected").cast("double").alias("_y"))
+    if individuals.select("fam").distinct().join(known, "fam", "left_anti").head(1):
+        raise SimulationError("a family has no known affection")
+
+    def accept(dropped: DataFrame) -> DataFrame:
+        """(rep, fam) that fit: the noise of a replicate depends on its number."""
+        calls = genotypes_of(dropped, ["rep", "fam", "id"]).withColumn("_fam", F.col("fam"))
+        told = trait.predict(calls.withColumn("fam", F.concat_ws(":", "rep", "fam")), f"{seed}/trait").withColumnRenamed("value", "_v")
+        whose = calls.select("rep", F.col("_fam").alias("fam"), "id").distinct().withColumn("_key", F.concat_ws(":", "rep", "fam"))
+        both = whose.join(known, ["fam", "id"]).join(told.withColumnRenamed("fam", "_key"), ["_key", "id"], "left")
+        return both.groupBy("rep", "fam").agg(F.avg(F.coalesce((F.col("_v") == F.col("_y")).cast("double"), F.lit(0.0))).alias("_a")).filter(F.col("_a") >= accuracy).select("rep", "fam")
+
+    return constrained_drop(individuals, markers, founders, accept, seed, reps, attempts, first)
 
 
 def descent_pins(individuals: DataFrame, constraints: DataFrame, seed: int | str = 1) -> DataFrame:
@@ -112,8 +152,8 @@ def descent_pins(individuals: DataFrame, constraints: DataFrame, seed: int | str
     (fam, id, ancestor, chrom_idx, marker_idx, chromatid 0 or 1) to hold: the person carries that haplotype of the
     ancestor. Of several lines of descent one is drawn at each person whose parents both lead to the ancestor.
 
-    Raises if a person does not descend from the ancestor, or if two constraints ask one gamete for different things on
-    one chromosome."""
+    Raises if a person does not descend from the ancestor, or if two constraints ask one gamete for different things at
+    one marker."""
     up = edges(individuals).select("fam", F.col("id").alias("at"), "parent", "via")
     lead = descent(individuals).select("fam", F.col("id").alias("parent"), F.col("anc").alias("ancestor")).distinct()
     ways = cut(up.join(lead, ["fam", "parent"]))  # (fam, at, parent, via, ancestor): steps that lead to an ancestor
@@ -136,19 +176,59 @@ def descent_pins(individuals: DataFrame, constraints: DataFrame, seed: int | str
     above = taken.select(*who, F.col("at").alias("parent"), F.col("via").alias("_v"))
     need = taken.join(above, [*who, "parent"], "left").withColumn("pin", F.when(F.col("parent") == F.col("ancestor"), F.col("chromatid")).otherwise(F.col("_v")))
     pins = cut(need.select("fam", F.col("at").alias("id"), F.col("via").alias("hap"), "chrom_idx", F.col("marker_idx").alias("pin_idx"), F.col("pin").cast("int").alias("pin")).distinct())
-    if pins.groupBy("fam", "id", "hap", "chrom_idx").count().filter("count > 1").head(1):
-        raise SimulationError("constraints contradict each other, or pin two markers of one chromosome of a gamete")
+    if pins.groupBy("fam", "id", "hap", "chrom_idx", "pin_idx").count().filter("count > 1").head(1):
+        raise SimulationError("constraints contradict each other")
     return pins
 
 
-def _pinned(chosen: DataFrame, pins: DataFrame) -> DataFrame:
-    """Strands with those of pinned gametes turned over where they miss the pin. Both strands are as likely and switches
-    do not depend on them, so this is a draw from all gametes that meet the pin, without tries that fail."""
+def _pinned(chosen: DataFrame, pins: DataFrame, markers: DataFrame, seed: int | str) -> DataFrame:
+    """Strands of pinned gametes. Where the first pin of a chromosome is missed, all strands are turned over: both are as
+    likely and switches do not depend on them, so this is a draw from all gametes that meet the pin, without tries that
+    fail. From the first pin on to the last one the strands are drawn anew where there are several (:func:`_between`)."""
     keys = ["rep", "fam", "id", "hap", "parent", "chrom_idx"]
-    joined = chosen.join(pins, ["fam", "id", "hap", "chrom_idx"], "left")
+    gamete = ["fam", "id", "hap", "chrom_idx"]
+    every = pins.groupBy(*gamete).agg(F.sort_array(F.collect_list(F.struct("pin_idx", "pin"))).alias("_pins"))
+    first = every.select(*gamete, F.col("_pins")[0]["pin_idx"].alias("pin_idx"), F.col("_pins")[0]["pin"].alias("pin"))
+    joined = chosen.join(first, gamete, "left")
     shown = F.max(F.when(F.col("marker_idx") == F.col("pin_idx"), F.col("strand"))).over(Window.partitionBy(*keys))
     turned = F.when(F.col("pin") != shown, 1 - F.col("strand")).otherwise(F.col("strand"))
-    return joined.withColumn("strand", turned).drop("pin_idx", "pin")
+    met = joined.withColumn("strand", turned).drop("pin_idx", "pin")
+    several = every.filter(F.size("_pins") > 1)
+    if not several.head(1):
+        return met
+    free = met.join(several.select(*gamete), gamete, "left_anti")
+    return free.select(*keys, "marker_idx", "strand").unionByName(_between(met, several, markers, keys, gamete, seed))
+
+
+def _between(met: DataFrame, several: DataFrame, markers: DataFrame, keys: list[str], gamete: list[str], seed: int | str) -> DataFrame:
+    """(keys, marker_idx, strand) of gametes with several pins on a chromosome: the strands are a chain of two states, and
+    between pins each step is drawn given the state before it and the next pin. Over a distance x the state changes with
+    chance q(x) = (1 - exp(-x / 50)) / 2, so the chance of a step is known in closed form (forward filtering, and sampling from
+    the state reached). The draws are those of the free chain."""
+    place = markers.select(*LOCUS, F.col("cm").cast("double").alias("cm"))
+    at = several.select(*gamete, F.explode("_pins").alias("p")).select(*gamete, F.col("p.pin_idx").alias("marker_idx"), F.col("p.pin").alias("pin"))
+    at = at.join(place, LOCUS).groupBy(*gamete).agg(F.sort_array(F.collect_list(F.struct(F.col("marker_idx").alias("i"), "cm", "pin"))).alias("_pins"))
+    same = at.filter("exists(sequence(1, size(_pins) - 1), k -> _pins[k].cm = _pins[k - 1].cm and _pins[k].pin <> _pins[k - 1].pin)")
+    if same.head(1):
+        raise SimulationError("constraints contradict each other: two pins of a gamete at one place of the map")
+    rows = met.join(at, gamete).join(place, LOCUS)
+    rows = rows.withColumn("u", uniform(seed, "rep", "fam", "id", "hap", "parent", *LOCUS))
+    rows = rows.withColumn("next", F.expr("get(filter(_pins, p -> p.i >= marker_idx), 0)")).withColumn("first", F.expr("_pins[0].i"))
+    chain = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("marker_idx").alias("i"), "cm", "u", "strand", "next"))).alias("m"), F.first("first").alias("first"))
+    q = lambda x: (1 - F.exp(-x / 50)) / 2
+
+    def walk(state, m):
+        before = F.element_at(state["cms"], -1)
+        r, rest, whole = q(m["cm"] - before), q(m["next"]["cm"] - m["cm"]), q(m["next"]["cm"] - before)
+        odd = F.element_at(state["out"], -1) != m["next"]["pin"]
+        turns = F.when(m["next"].isNull(), r).when(whole == 0, 0.0).when(odd, r * (1 - rest) / F.greatest(whole, F.lit(1e-300))).otherwise(r * rest / (1 - whole))
+        drawn = F.when(m["u"] < turns, 1 - F.element_at(state["out"], -1)).otherwise(F.element_at(state["out"], -1))
+        strand = F.when(m["i"] <= F.col("first"), m["strand"]).otherwise(drawn)
+        return F.struct(F.array_append(state["out"], strand).alias("out"), F.array(m["cm"]).alias("cms"))
+
+    start = F.struct(F.array(F.expr("m[0].strand")).alias("out"), F.array(F.expr("m[0].cm")).alias("cms"))
+    out = chain.withColumn("out", F.aggregate(F.expr("slice(m, 2, size(m))"), start, walk)["out"])
+    return out.select(*keys, F.explode(F.arrays_zip(F.col("m.i").alias("marker_idx"), F.col("out").alias("strand"))).alias("x")).select(*keys, "x.marker_idx", "x.strand")
 
 
 def descent_drop(individuals: DataFrame, markers: DataFrame, constraints: DataFrame, seed: int | str = 1, reps: int = 1) -> DataFrame:

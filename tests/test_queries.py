@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from kindred import catalog_more  # noqa: F401
+from kindred import catalog_more, catalog_simulation  # noqa: F401
 from kindred.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
