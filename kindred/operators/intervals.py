@@ -87,13 +87,80 @@ def set_intervals(intervals: DataFrame, keys: list[str], value: int) -> DataFram
     return spread(coverage(intervals, keys), keys).withColumn("value", F.lit(value))
 
 
+#: Length classes of segments, each eight times as long as the one before; longer segments are a class without bins.
+CLASSES, TIMES = 9, 8
+
+
 def covering(points: DataFrame, segments: DataFrame, on: list[str], point: str = "pos", width: int = 64) -> DataFrame:
     """Range join: points ⨝ segments with start <= point <= stop.
 
-    Both sides meet in bins of ``width`` positions next to the equalities, so no nested-loop join is planned."""
-    binned = segments.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))))
-    probes = points.withColumn("_bin", F.floor(F.col(point) / width))
-    return probes.join(binned, [*on, "_bin"]).filter(F.col(point).between(F.col("start"), F.col("stop"))).drop("_bin")
+    Segments of up to ``width``, 8 ``width``, 64 ``width``, ... positions are binned by their start with bins as wide as
+    their class is long, so a segment of any length is one row and reaches at most into the bin after its own. A point looks
+    into two bins of each class. Both sides meet by equality of class and bin: no nested-loop join is planned, and a point
+    meets no more segments than lie within some lengths of it."""
+    widths = [width * TIMES**k for k in range(CLASSES)]
+    length = F.col("stop") - F.col("start")
+    level, at = F.lit(CLASSES), F.lit(0).cast("long")
+    for k in range(CLASSES - 1, -1, -1):
+        level = F.when(length < widths[k], k).otherwise(level)
+        at = F.when(length < widths[k], F.floor(F.col("start") / widths[k])).otherwise(at)
+    binned = segments.filter("start <= stop").withColumns({"_level": level, "_bin": at})
+    looks = [(F.lit(k), F.floor(F.col(point) / w) - back) for k, w in enumerate(widths) for back in (0, 1)] + [(F.lit(CLASSES), F.lit(0).cast("long"))]
+    probes = points.withColumn("_look", F.explode(F.array(*[F.struct(k.alias("_level"), b.alias("_bin")) for k, b in looks])))
+    probes = probes.select(*points.columns, "_look._level", "_look._bin")
+    return probes.join(binned, [*on, "_level", "_bin"]).filter(F.col(point).between(F.col("start"), F.col("stop"))).drop("_level", "_bin")
+
+
+#: Points of a bin in which ranks are looked up, about; points of a block that is handed out whole.
+BIN, BLOCK = 16, 256
+
+
+def rank_bins(points: DataFrame, on: list[str], point: str) -> DataFrame:
+    """(on, _bin, _first, _width, _bins, _rank, _held): the points of each key in bins of equal width, how many of them stand
+    before a bin, and those in it, sorted. Bins are as many as the points ask for, whatever their distances."""
+    own = points.filter(F.col(point).isNotNull()).select(*on, F.col(point).alias("_p"))
+    size = own.groupBy(*on).agg(F.min("_p").cast("double").alias("_first"), F.max("_p").cast("double").alias("_last"), F.count("*").alias("_n"))
+    size = size.withColumn("_bins", F.greatest(F.lit(1), F.ceil(F.col("_n") / BIN)).cast("int")).withColumn("_width", F.greatest(F.lit(1e-9), (F.col("_last") - F.col("_first")) / F.col("_bins")))
+    held = own.join(size.select(*on, "_first", "_width", "_bins"), on)
+    held = held.withColumn("_bin", _bin_of(F.col("_p"))).groupBy(*on, "_bin").agg(F.sort_array(F.collect_list("_p")).alias("_held"))
+    every = size.select(*on, "_first", "_width", "_bins", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("_bin"))
+    both = every.join(held, [*on, "_bin"], "left").withColumn("_held", F.coalesce("_held", F.array().cast(held.schema["_held"].dataType)))
+    before = _ordered(on, "_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_rank", F.coalesce(F.sum(F.size("_held")).over(before), F.lit(0)))
+
+
+def _bin_of(value: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.col("_bins") - 1, F.floor((value.cast("double") - F.col("_first")) / F.col("_width")).cast("int")))
+
+
+def ranks(df: DataFrame, bins: DataFrame, on: list[str], values: dict[str, tuple[str, bool]]) -> DataFrame:
+    """``df`` with columns of ``values``, each the number of points before another column's value, or (True) up to it. Keys without
+    points are left out. A value meets the points of one small bin."""
+    shape = bins.filter("_bin = 0").select(*on, "_first", "_width", "_bins")
+    out = df.join(shape, on)
+    for name, (value, inclusive) in values.items():
+        mine = bins.select(*on, F.col("_bin").alias("_b"), F.col("_rank").alias("_r"), F.col("_held").alias("_m"))
+        place = F.when(F.col(value) == float("inf"), F.col("_bins") - 1).otherwise(_bin_of(F.col(value)))
+        within = F.expr(f"size(filter(_m, x -> x {'<=' if inclusive else '<'} {value}))")
+        out = out.withColumn("_b", place).join(mine, [*on, "_b"]).withColumn(name, (F.col("_r") + within).cast("long")).drop("_b", "_r", "_m")
+    return out.drop("_first", "_width", "_bins")
+
+
+def points_inside(points: DataFrame, segments: DataFrame, on: list[str], point: str = "pos") -> DataFrame:
+    """(segment columns, point): every point inside each segment, both ends inside; of ``points`` only ``on`` and ``point`` are read.
+
+    Both ends become ranks among the sorted points, and what lies between is handed out in blocks of points: a segment is
+    moved once for every ``BLOCK`` points that it holds, and nothing is compared point by point."""
+    bins = rank_bins(points, on, point)
+    numbered = bins.select(*on, F.col("_rank").alias("_r"), F.posexplode("_held").alias("_i", point)).withColumn("_r", F.col("_r") + F.col("_i"))
+    blocks = numbered.groupBy(*on, F.floor(F.col("_r") / BLOCK).alias("_block")).agg(F.sort_array(F.collect_list(point)).alias("_points"))
+    placed = ranks(segments, bins, on, {"_from": ("start", False), "_to": ("stop", True)}).filter("_from < _to")
+    part = placed.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / BLOCK), F.floor((F.col("_to") - 1) / BLOCK)))).join(blocks, [*on, "_block"])
+    base = F.col("_block") * BLOCK
+    first = F.greatest(F.lit(0), F.col("_from") - base).cast("int")
+    n = (F.least(F.lit(BLOCK), F.col("_to") - base) - F.greatest(F.lit(0), F.col("_from") - base)).cast("int")
+    whole = F.when(n == F.size("_points"), F.col("_points")).otherwise(F.slice("_points", first + 1, n))
+    return part.select(*segments.columns, F.explode(whole).alias(point))
 
 
 def nearest(probes: DataFrame, markers: DataFrame, on: list[str], probe: str = "pos", marker: str = "bp", index: str = "marker_idx", bucket: int = 100_000) -> DataFrame:

@@ -10,16 +10,17 @@ infinity, ``anc`` is ``id/hap`` of the founder haplotype."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.genealogy import depth, edges
 from ..operators.individuals import is_founder
+from ..operators.intervals import rank_bins, ranks
 from ..plans.tables import cut
 from .random import uniform
 
-#: Chromosomes of a map at most; bins of markers hold about so many.
-MOST_CHROMOSOMES, BIN = 10_000, 16
+#: Chromosomes of a map at most.
+MOST_CHROMOSOMES = 10_000
 KEYS = ["rep", "fam", "id", "hap", "chrom_idx"]
 
 
@@ -92,35 +93,11 @@ def merged(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return marked.groupBy(*own, "_g").agg(F.first("anc").alias("anc"), F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_g")
 
 
-def marker_bins(markers: DataFrame) -> DataFrame:
-    """(chrom_idx, _bin, _first, _width, _rank, _cms): the markers of each stretch of the map, and how many come before it."""
-    own = markers.select("chrom_idx", F.col("cm").cast("double").alias("cm"))
-    size = own.groupBy("chrom_idx").agg(F.min("cm").alias("_first"), F.max("cm").alias("_last"), F.count("*").alias("_n"))
-    size = size.withColumn("_bins", F.greatest(F.lit(1), F.ceil(F.col("_n") / BIN)).cast("int")).withColumn("_width", F.greatest(F.lit(1e-9), (F.col("_last") - F.col("_first")) / F.col("_bins")))
-    held = own.join(size.select("chrom_idx", "_first", "_width", "_bins"), "chrom_idx")
-    held = held.withColumn("_bin", _bin(F.col("cm"), F.col("_bins"))).groupBy("chrom_idx", "_bin").agg(F.sort_array(F.collect_list("cm")).alias("_cms"))
-    every = size.select("chrom_idx", "_first", "_width", "_bins", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("_bin"))
-    both = every.join(held, ["chrom_idx", "_bin"], "left").withColumn("_cms", F.coalesce("_cms", F.array().cast("array<double>")))
-    before = Window.partitionBy("chrom_idx").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("_rank", F.coalesce(F.sum(F.size("_cms")).over(before), F.lit(0)))
-
-
-def _bin(cm: Column, bins: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(bins - 1, F.floor((cm - F.col("_first")) / F.col("_width")).cast("int")))
-
-
 def at_markers(spans: DataFrame, markers: DataFrame) -> DataFrame:
     """``spans`` with ``start`` and ``stop`` as places of markers in map order (half-open); spans without a marker are left out.
 
     An end meets the markers of one small bin of its chromosome, so no row is made for a span and a marker."""
-    bins = cut(marker_bins(markers), "bins")
-    shape = bins.groupBy("chrom_idx").agg(F.first("_first").alias("_first"), F.first("_width").alias("_width"), F.first("_bins").alias("_bins"))
     own = [c for c in spans.columns if c not in ("start", "stop")]
-    out = spans.join(shape, "chrom_idx")
-    for end in ("start", "stop"):
-        found = bins.select("chrom_idx", F.col("_bin").alias(f"_b_{end}"), F.col("_rank").alias(f"_r_{end}"), F.col("_cms").alias(f"_m_{end}"))
-        place = F.when(F.col(end) == float("inf"), F.col("_bins") - 1).otherwise(_bin(F.col(end), F.col("_bins")))
-        out = out.withColumn(f"_b_{end}", place).join(found, ["chrom_idx", f"_b_{end}"])
-        before = F.expr(f"size(filter(_m_{end}, x -> x < {end}))")
-        out = out.withColumn(f"_p_{end}", (F.col(f"_r_{end}") + before).cast("long"))
-    return out.filter("_p_start < _p_stop").select(*own, F.col("_p_start").alias("start"), F.col("_p_stop").alias("stop"))
+    bins = cut(rank_bins(markers.withColumn("cm", F.col("cm").cast("double")), ["chrom_idx"], "cm"), "bins")
+    placed = ranks(spans, bins, ["chrom_idx"], {"_from": ("start", False), "_to": ("stop", False)})
+    return placed.filter("_from < _to").select(*own, F.col("_from").alias("start"), F.col("_to").alias("stop"))

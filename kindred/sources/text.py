@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     first = sizes.select("file", "_b", F.coalesce(before, F.lit(0)).alias("_s"))
-    placed = raw.withColumn("_i", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_m")) - 1).join(F.broadcast(first), ["file", "_b"], "left")
+    placed = raw.withColumn("_i", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_m")) - 1).join(first, ["file", "_b"], "left")
     start = F.coalesce("_s", F.raise_error(F.lit("a file was split anew while its lines were numbered")).cast("long"))
     return placed.select("file", (start + F.col("_i")).alias("line"), F.regexp_replace("value", "\\r$", "").alias("value"))
 

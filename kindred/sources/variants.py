@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,53 +50,59 @@ def read_vcf(spark: SparkSession, path: str, require_pass: bool = False, frequen
     markers = found.select("chrom_idx", "chrom", "marker_idx", "label", F.lit(None).cast("double").alias("cm"), "bp", maf.alias("maf"), "ref", "alts")
     gt = F.array_position("format", "GT").cast("int")
     each = found.select("chrom_idx", "marker_idx", gt.alias("_gt"), F.posexplode("samples").alias("_s", "_v"))
-    each = each.select("chrom_idx", "marker_idx", F.get(F.array(*[F.lit(i) for i in ids]), F.col("_s")).alias("id"), F.split(F.get(F.split("_v", ":"), F.col("_gt") - 1), "[|/]").alias("_g"))
-    calls = each.select("id", "chrom_idx", "marker_idx", F.posexplode("_g").alias("hap", "_a")).select("id", "chrom_idx", "marker_idx", F.col("hap").cast("tinyint").alias("hap"), F.col("_a").try_cast("tinyint").alias("allele"))
-    return ids, markers, calls.filter("allele is null or allele <> 0")
+    each = each.select("_s", "chrom_idx", "marker_idx", F.split(F.get(F.split("_v", ":"), F.col("_gt") - 1), "[|/]").alias("_g"))
+    calls = each.select("_s", "chrom_idx", "marker_idx", F.posexplode("_g").alias("hap", "_a")).select("_s", "chrom_idx", "marker_idx", F.col("hap").cast("tinyint").alias("hap"), F.col("_a").try_cast("tinyint").alias("allele"))
+    # samples go by position until reference calls are gone; their names are rows of a table, not literals of the plan
+    named = spark.createDataFrame(pa.table({"_s": pa.array(range(len(ids)), pa.int32()), "id": pa.array(ids, pa.string())}))
+    calls = calls.filter("allele is null or allele <> 0").join(named, "_s", "left")
+    return ids, markers, calls.select("id", "chrom_idx", "marker_idx", "hap", "allele")
 
 
 def read_beagle_markers(spark: SparkSession, path: str) -> DataFrame:
-    """(marker_idx, label, bp, ref, alts); positions must ascend strictly."""
+    """(marker_idx, label, bp, ref, alts); positions must ascend strictly within a file. The files of a folder are numbered
+    through in order of name."""
     raw = read_lines(spark, path).filter(F.length(F.trim("value")) > 0).select("file", "line", fields().alias("f"))
     f = F.col("f")
     out = placed(raw.select("file", "line", f[0].alias("label"), f[1].cast("long").alias("bp"), f[2].alias("ref"), F.slice(f, 4, F.size(f)).alias("alts")), [], "marker_idx")
-    before = out.select((F.col("marker_idx") + 1).alias("marker_idx"), F.col("bp").alias("_b"))
-    if out.join(before, "marker_idx").filter("bp <= _b").head(1):
+    before = out.select("file", (F.col("marker_idx") + 1).alias("marker_idx"), F.col("bp").alias("_b"))
+    if out.join(before, ["file", "marker_idx"]).filter("bp <= _b").head(1):
         raise FileFormatError("marker positions must ascend strictly")
     return out.select("marker_idx", "label", "bp", "ref", "alts")
 
 
 def read_beagle(spark: SparkSession, genotypes: str, markers: str | None = None, missing: str = "0") -> tuple[DataFrame, DataFrame]:
     """(phenotypes, genotypes): two columns for each person; rows I hold ids, A affection (2: affected), C and T traits,
-    M markers."""
-    raw = read_lines(spark, genotypes).filter(F.length(F.trim("value")) > 0).select("line", fields().alias("f"))
+    M markers. Columns mean the people of their own file; files of a folder may share people (one for each chromosome, say),
+    whose equal trait rows are one."""
+    raw = read_lines(spark, genotypes).filter(F.length(F.trim("value")) > 0).select("file", "line", fields().alias("f"))
     f = F.col("f")
-    cells = raw.select("line", f[0].alias("kind"), f[1].alias("name"), F.posexplode(F.slice(f, 3, F.size(f))).alias("_c", "v")).withColumns({"who": F.floor(F.col("_c") / 2).cast("int"), "hap": (F.col("_c") % 2).cast("int")})
-    people = cells.filter("kind = 'I' and hap = 0").select("who", F.col("v").alias("id"))
+    cells = raw.select("file", "line", f[0].alias("kind"), f[1].alias("name"), F.posexplode(F.slice(f, 3, F.size(f))).alias("_c", "v")).withColumns({"who": F.floor(F.col("_c") / 2).cast("int"), "hap": (F.col("_c") % 2).cast("int")})
+    people = cells.filter("kind = 'I' and hap = 0").select("file", "who", F.col("v").alias("id"))
     value = F.when(F.col("kind") == "A", (F.col("v") == "2").cast("double")).otherwise(F.col("v").try_cast("double"))
-    traits = cells.filter("kind in ('A', 'C', 'T') and hap = 0").join(people, "who").select("id", "name", value.alias("value"))
-    alleles = cells.filter("kind = 'M'").groupBy("line", "name", "who").agg(F.max(F.when(F.col("hap") == 0, F.col("v"))).alias("_a"), F.max(F.when(F.col("hap") == 1, F.col("v"))).alias("_b"))
+    traits = cells.filter("kind in ('A', 'C', 'T') and hap = 0").join(people, ["file", "who"]).select("id", "name", value.alias("value")).distinct()
+    alleles = cells.filter("kind = 'M'").groupBy("file", "line", "name", "who").agg(F.max(F.when(F.col("hap") == 0, F.col("v"))).alias("_a"), F.max(F.when(F.col("hap") == 1, F.col("v"))).alias("_b"))
     clean = lambda c: F.when(F.col(c) != missing, F.col(c))
-    out = alleles.join(people, "who").select("id", F.col("name").alias("label"), clean("_a").alias("a0"), clean("_b").alias("a1"))
+    out = alleles.join(people, ["file", "who"]).select("id", F.col("name").alias("label"), clean("_a").alias("a0"), clean("_b").alias("a1"))
     if markers:
         out = out.join(read_beagle_markers(spark, markers).select("label", "marker_idx"), "label")
     return traits, out
 
 
 def read_genomesimla(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, marker_idx, label, maf, cm, bp): a label line, a count line, then markers with cM steps."""
+    """(chrom, marker_idx, label, maf, cm, bp): a label line, a count line, then markers with cM steps. Each file of a folder is a
+    chromosome of its own; files of one label are one chromosome, in order of name."""
     raw = read_lines(spark, path).select("file", "line", "value", fields().alias("f"))
-    name = raw.filter("line = 0").select(F.trim("value").alias("chrom"))
+    name = raw.filter("line = 0").select("file", F.trim("value").alias("chrom"))
     f = F.col("f")
-    body = raw.filter("line > 1").filter(F.size("f") >= 5)
-    out = placed(body.select("file", "line", f[0].alias("label"), f[2].cast("double").alias("maf"), f[3].cast("double").alias("_d"), f[4].cast("long").alias("bp")), [], "marker_idx")
+    body = raw.filter("line > 1").filter(F.size("f") >= 5).join(name, "file")
+    out = placed(body.select("chrom", "file", "line", f[0].alias("label"), f[2].cast("double").alias("maf"), f[3].cast("double").alias("_d"), f[4].cast("long").alias("bp")), ["chrom"], "marker_idx")
     # positions add up within slices of markers and by the slices before
     out = out.withColumn("_slice", F.floor(F.col("marker_idx") / 100_000))
-    ahead = F.sum("_t").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    first = out.groupBy("_slice").agg(F.sum("_d").alias("_t")).select("_slice", F.coalesce(ahead, F.lit(0.0)).alias("_s"))
-    inner = F.sum("_d").over(Window.partitionBy("_slice").orderBy("marker_idx").rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("_in", inner).join(first, "_slice").withColumn("cm", F.col("_s") + F.col("_in"))
-    return out.join(F.broadcast(name)).select("chrom", "marker_idx", "label", "maf", "cm", "bp")
+    ahead = F.sum("_t").over(Window.partitionBy("chrom").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    first = out.groupBy("chrom", "_slice").agg(F.sum("_d").alias("_t")).select("chrom", "_slice", F.coalesce(ahead, F.lit(0.0)).alias("_s"))
+    inner = F.sum("_d").over(Window.partitionBy("chrom", "_slice").orderBy("marker_idx").rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("_in", inner).join(first, ["chrom", "_slice"]).withColumn("cm", F.col("_s") + F.col("_in"))
+    return out.select("chrom", "marker_idx", "label", "maf", "cm", "bp")
 
 
 def read_germline(spark: SparkSession, path: str) -> DataFrame:

@@ -103,3 +103,20 @@ def test_too_many_alleles_raise(spark):
     g = spark.range(1100).selectExpr("id", "0 as chrom_idx", "0 as marker_idx", "id as a0", "id as a1")
     with pytest.raises(ValueError):
         bitscan.sharing(g, 3)
+
+
+def test_points_in_segments_of_every_length(spark):
+    from kindred.operators.intervals import covering, points_inside
+
+    rng = random.Random(6)
+    segs = []
+    for _ in range(300):
+        a = rng.randrange(-50, 3000) if rng.random() < 0.8 else rng.randrange(10**11)
+        segs.append((rng.randrange(2), a, a + rng.choice([0, 1, 63, 64, 65, 511, 512, 4096, 10**6, 10**11])))
+    points = [(c, p) for c in (0, 1, 2) for p in sorted({rng.choice(segs)[rng.choice([1, 2])] + rng.choice([-1, 0, 1]) for _ in range(60)})]
+    got = covering(spark.createDataFrame(points, "c int, pos long"), spark.createDataFrame(segs, "c int, start long, stop long"), ["c"])
+    want = sorted((c, p, a, z) for c, p in points for d, a, z in segs if c == d and a <= p <= z)
+    assert sorted((r.c, r.pos, r.start, r.stop) for r in got.collect()) == want and want
+    inside = points_inside(spark.createDataFrame(points, "c int, pos long"), spark.createDataFrame(segs, "c int, start long, stop long"), ["c"])
+    assert sorted((r.c, r.pos, r.start, r.stop) for r in inside.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()

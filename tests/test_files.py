@@ -74,3 +74,34 @@ def test_phenotypes_round_trip(spark, put, tmp_path):
     pedigrees.write_phenotypes(df, str(tmp_path / "out"))
     back = pedigrees.read_phenotypes(spark, str(tmp_path / "out")).filter(F.col("value").isNotNull())
     assert back.count() == 2
+
+
+def test_folders_of_beagle_and_genomesimla_files(spark, put, tmp_path):
+    for name in ("g", "m", "s"):
+        (tmp_path / name).mkdir()
+    put("g/1.bgl", "I id p1 p1 p2 p2\nA dis 2 2 1 1\nM m1 A A G 0\n")
+    put("g/2.bgl", "I id q1 q1 p1 p1\nA dis 1 1 2 2\nM m1 C C A A\nM m2 T T 0 0\n")
+    put("m/1.markers", "m1 90 A G\n")
+    put("m/2.markers", "m2 10 C T\n")
+    traits, genotypes = variants.read_beagle(spark, str(tmp_path / "g"), str(tmp_path / "m"))
+    assert sorted((r.id, r.value) for r in traits.collect()) == [("p1", 1.0), ("p2", 0.0), ("q1", 0.0)]
+    assert sorted((r.id, r.label, r.a0, r.a1, r.marker_idx) for r in genotypes.collect()) == [
+        ("p1", "m1", "A", "A", 0), ("p1", "m1", "A", "A", 0), ("p1", "m2", None, None, 1), ("p2", "m1", "G", None, 0), ("q1", "m1", "C", "C", 0), ("q1", "m2", "T", "T", 1),
+    ]
+    put("s/a.loc", "c1\n2\na x 0.1 0.5 10\nb x 0.2 0.25 20\n")
+    put("s/b.loc", "c2\n1\nd x 0.3 1.5 7\n")
+    got = sorted((r.chrom, r.marker_idx, r.label, r.cm) for r in variants.read_genomesimla(spark, str(tmp_path / "s")).collect())
+    assert got == [("c1", 0, "a", 0.5), ("c1", 1, "b", 0.75), ("c2", 0, "d", 1.5)]
+
+
+def test_vcf_of_many_samples_plans_quickly(spark, put):
+    import time
+
+    n = 20_000
+    calls = ["0|0"] * n
+    calls[17_003] = "0|1"
+    path = put("wide.vcf", "##x\n#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT " + " ".join(f"s{k}" for k in range(n)) + "\n1\t5\trs\tG\tA\t9\tPASS\t.\tGT\t" + "\t".join(calls) + "\n")
+    began = time.time()
+    ids, _, found = variants.read_vcf(spark, path)
+    assert len(ids) == n and [(r.id, r.hap, r.allele) for r in found.collect()] == [("s17003", 1, 1)]
+    assert time.time() - began < 60
