@@ -8,8 +8,10 @@ element holds real text outside such elements (beside it: any text of a twentiet
 of the page's text at most (names of reader comments and notices: four fifths); else it stays, at half its points. Each paragraph passes points for its length and commas to the
 elements above it (whole to the parent, half to the next, less further up); a container's points are discounted by
 the share of its text that stands in links. The best container is kept with its siblings of any kind and length,
-unless a quarter of their text or more stands in links and their points are few. The text is that of the kept
-elements in page order: references decoded, white space inside a block (any Unicode white space, no-break spaces
+unless a quarter of their text or more stands in links and their points are few. From there on up to the article or main
+element around it, or else the body, what stands beside is kept as well if few links and comparable points (or, in an
+article or main element, any text) tell that it belongs to the article: other columns, parts in wrappers of their own. A
+button or label in the middle of a paragraph's sentence is prose. The text is that of the kept elements in page order: references decoded, white space inside a block (any Unicode white space, no-break spaces
 included) made one space, blocks joined by one space; nothing is capped.
 
 Defined results: null or empty html, or a page without text outside the removed parts, gives empty text; a page cut
@@ -35,6 +37,8 @@ GONE = frozenset(
     "script style noscript template head title nav footer aside form button select textarea input iframe object "
     "embed svg canvas video audio map dialog menu label fieldset option datalist".split()
 )
+INLINE = frozenset(("button", "label"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -64,8 +68,9 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORE
 
 
 #: Text of an article or main element, in characters, from which it is taken for the article; how many times its text a
-#: named element beside it may hold and go; most rounds of :func:`judge`.
-REAL, BESIDE, ROUNDS = 140, 20, 50
+#: named element beside it may hold and go; nested named elements that :func:`judge` looks into (deeper names do not count);
+#: characters of a paragraph, and share of the best points, from which a block further off belongs to the article.
+REAL, BESIDE, ROUNDS, FAR, COMPARABLE = 140, 20, 50, 80, 0.1
 
 
 class Node:
@@ -103,6 +108,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False, set())
         self.nodes: list[Node] = [self.root]
+        self.controls: list[Node] = []
         self.open: dict[str, int] = {"html": 1}
 
     def _close(self, stop: Node) -> None:
@@ -147,6 +153,8 @@ class Tree(HTMLParser):
         names = set() if dropped or tag in ("html", "body", "article", "main") else _names(attrs)
         node = Node(tag, self.at, dropped, names)
         self.at.kids.append(node)
+        if tag in INLINE and self.open.get("p") and not self.open.get("form"):
+            self.controls.append(node)
         if tag not in VOID:
             self.nodes.append(node)
             self.at = node
@@ -203,7 +211,7 @@ def judge(nodes: list[Node]) -> None:
     """Drop elements by their names where the rest of the page bears it."""
     root = nodes[0]
     total = root.length - root.linked
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         outer, real = [], 0
         for node in reversed(nodes):  # text outside links and named elements
             if not node.dropped:
@@ -225,7 +233,7 @@ def judge(nodes: list[Node]) -> None:
                 real = max(real, node.clean)
         if not outer:
             return
-        sure = turn == ROUNDS - 1 or real >= REAL or real * 3 >= total > 0
+        sure = real >= REAL or real * 3 >= total > 0
         stay = []
         for node in outer:
             own = node.length - node.linked
@@ -241,6 +249,21 @@ def judge(nodes: list[Node]) -> None:
             node.named, node.weight = False, 0.5
 
 
+def prose(controls: list[Node]) -> None:
+    """Keep controls that stand inside a sentence: with words of their paragraph before and after them."""
+    for node in controls:
+        if not node.dropped or any(not isinstance(k, str) for k in node.kids):
+            continue
+        step, above = node, node.parent
+        while above is not None and above.tag not in BLOCKS:
+            step, above = above, above.parent
+        if above is None or above.tag != "p":
+            continue
+        at = next(i for i, k in enumerate(above.kids) if k is step)
+        spoken = lambda kids: any(isinstance(k, str) and any(c.isalpha() for c in k) for k in kids)
+        node.dropped = not (spoken(above.kids[:at]) and spoken(above.kids[at + 1 :]))
+
+
 def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
@@ -248,6 +271,7 @@ def _density(node: Node) -> float:
 def kept(tree: Tree) -> list[Node | str]:
     """The elements and bare text that are the article, in page order."""
     nodes = tree.nodes
+    prose(tree.controls)
     _spread(nodes)
     _measure(nodes)
     judge(nodes)
@@ -279,23 +303,64 @@ def kept(tree: Tree) -> list[Node | str]:
     if best.parent is None or best.tag == "body":
         return [best]
     top = best.score * (1 - _density(best))
+    out = beside(best.parent, best, [best], lambda kid: kid.weight == 1 and _near(kid, top), lambda n: True)
+    if best.tag in ("article", "main"):
+        return out
+    article, at = False, best.parent
+    while at is not None and not article:
+        article, at = at.tag in ("article", "main"), at.parent
+    fits = (lambda kid: kid.weight == 1 and _near(kid, top)) if article else (lambda kid: kid.weight == 1 and _far(kid, top))
+    inner, scope = best.parent, best.parent.parent
+    while scope is not None and inner.tag not in ("article", "main", "body"):
+        out = beside(scope, inner, out, fits, lambda n: article or n >= FAR)
+        inner, scope = scope, scope.parent
+    return out
+
+
+def _near(kid: Node, top: float) -> bool:
+    """A block beside the best container: few links, or the points of another container."""
+    return _density(kid) < 0.25 or kid.tag in ("article", "section", "div", "main") and kid.score * (1 - _density(kid)) >= max(10.0, 0.2 * top)
+
+
+def _far(kid: Node, top: float) -> bool:
+    """A block beside a wrapper of the best container: few links, and comparable points or a real paragraph somewhere in it."""
+    if _density(kid) >= 0.25:
+        return False
+    left = [kid]
+    while left:
+        node = left.pop()
+        if node.dropped or not node.length or _density(node) >= 0.25:
+            continue
+        if node.score * (1 - _density(node)) >= COMPARABLE * top or node.tag in ("p", "pre", "blockquote") and node.length >= FAR:
+            return True
+        left += [k for k in node.kids if not isinstance(k, str)]
+    return False
+
+
+def beside(scope: Node, own: Node, inner: list[Node | str], block, text) -> list[Node | str]:
+    """``inner`` with what is kept of the other children of ``scope``, in page order: blocks by ``block``, bare text and inline
+    elements between blocks by the length that ``text`` takes, headings with the block after them."""
     out: list[Node | str] = []
+    heads: list[Node | str] = []
     run: list[Node | str] = []  # bare text and inline elements up to the next block
-    for kid in [*best.parent.kids, None]:
-        if kid is not None and (isinstance(kid, str) or kid.tag not in BLOCKS):
+    for kid in [*scope.kids, None]:
+        if kid is not None and kid is not own and (isinstance(kid, str) or kid.tag not in BLOCKS):
             run.append(kid)
             continue
         shown = [x for x in run if isinstance(x, str) or not x.dropped]
         length = sum(len(" ".join(x.split())) if isinstance(x, str) else x.length for x in shown)
-        if length and sum(x.linked for x in shown if not isinstance(x, str)) < 0.25 * length:
+        if length and text(length) and sum(x.linked for x in shown if not isinstance(x, str)) < 0.25 * length:
             out += shown
         run = []
-        if kid is None or kid.dropped:
+        if kid is None or kid is not own and (kid.dropped or not kid.length):
             continue
-        if kid is best or kid.weight == 1 and kid.length and _density(kid) < 0.25:
-            out.append(kid)
-        elif kid.weight == 1 and kid.tag in ("article", "section", "div", "main") and kid.score * (1 - _density(kid)) >= max(10.0, 0.2 * top):
-            out.append(kid)
+        if kid is own or block(kid):
+            out += [*heads, *(inner if kid is own else [kid])]
+            heads = []
+        elif kid.tag in HEADINGS and kid.weight == 1 and _density(kid) < 0.25:
+            heads.append(kid)
+        else:
+            heads = []
     return out
 
 

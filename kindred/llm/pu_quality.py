@@ -109,8 +109,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
 def prior_from_positives(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Class prior without any known negative: the mean rating of unlabelled documents over that of held-back positives."""
     cut = max(1, len(positive) // 5)
-    scorer = fit(positive[cut:], unlabelled, 0.5, rounds=200)
-    known = scorer(positive[:cut]).mean()
+    held, rest = positive[:cut], positive[cut:] if len(positive) > 1 else positive  # a single one is rated by itself
+    scorer = fit(rest, unlabelled, 0.5, rounds=200)
+    known = scorer(held).mean()
     return float(np.clip(scorer(unlabelled).mean() / max(known, 1e-6), 0.05, 0.95))
 
 
