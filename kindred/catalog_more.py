@@ -18,7 +18,7 @@ from .simulation import drop as D
 from .simulation import population as N
 from .simulation import trait as Q
 from .sources import pedigrees, variants
-from .stats import lmm, scan
+from .stats import crossed, lmm, scan
 
 # updates
 
@@ -449,3 +449,31 @@ def beagle_file(s, d):
     ids.unionByName(body).coalesce(1).orderBy("k").select("value").write.text(path + ".bgl")
     at.coalesce(1).orderBy("id").select("value").write.text(path + ".markers")
     return variants.read_beagle(s, path + ".bgl", path + ".markers")[1]
+
+
+# random effects whose levels span families
+
+CROSSED = np.array([1.5, 8.0])
+V.SQL["by_nation"] = """nat as (select c_nationkey as k, count(*) as n, sum(c_acctbal / 1000) as sy, sum(c_acctbal / 1000 * (c_acctbal / 1000)) as syy from customer group by c_nationkey),
+e as (select sum(n) as n, sum((n - 1) * ln(8.0) + ln(8.0 + n * 1.5)) as logdet, sum(n / (8.0 + n * 1.5)) as xwx, sum(sy / (8.0 + n * 1.5)) as xwy, sum((syy - 1.5 / (8.0 + n * 1.5) * sy * sy) / 8.0) as ywy from nat)"""
+
+
+def _nations(s, d):
+    """Balances with the nation as an effect across families, no effect within them."""
+    data = V.load(s, d, "customer").select(F.floor(F.col("c_custkey") / 9).alias("fam"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("y"), "c_nationkey")
+    return lmm.MixedModel(data, "y").with_crossed("nation", "c_nationkey")
+
+
+@query("crossed_likelihoods", V.sql("""select 'ml' as kind, round(-0.5 * (n * ln(2 * pi()) + logdet + ywy - xwy * xwy / xwx), 4) as value from e
+union all select 'reml', round(-0.5 * (logdet + ln(xwx) + ywy - xwy * xwy / xwx + (n - 1) * ln(2 * pi())), 4) from e""", "by_nation"))
+def crossed_likelihoods(s, d):
+    blocks = crossed.bordered(_nations(s, d))
+    return s.createDataFrame([(k, round(float(lmm.loglikelihood(blocks, CROSSED, k == "reml")[0]), 4)) for k in ("ml", "reml")], "kind string, value double")
+
+
+@query("crossed_effects", V.sql("select 'nation' as effect, cast(k as varchar) as level, round(1.5 * (sy - nat.n * xwy / xwx) / (8.0 + nat.n * 1.5), 6) as blup from nat, e", "by_nation"))
+def crossed_effects(s, d):
+    model = _nations(s, d)
+    blocks = crossed.bordered(model)
+    beta = lmm.loglikelihood(blocks, CROSSED)[1]
+    return crossed.level_effects(model, lmm.Fit(model.names(), CROSSED, beta, 0.0, 0, 0, "given"), blocks).withColumn("blup", F.round("blup", 6))

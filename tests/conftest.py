@@ -2,11 +2,11 @@ import os
 import sys
 from pathlib import Path
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy: its threads do not outlive the fork that starts the JVM
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-os.environ.setdefault("OMP_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH", "")])
 
 
