@@ -424,10 +424,10 @@ def anti_join(s, d):
     return V.individuals(s, d).join(V.load(s, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").select("fam", "id", "sex")
 
 
-@query("merge_segments", V.sql("select id1, id2, chrom, start_idx, stop_idx from segments where chrom = 0 and id1 not in (select id1 from segments where chrom = 1) union all select id1, id2, chrom, start_idx, stop_idx from segments where chrom = 1", "segments"))
+@query("merge_segments", V.sql("select id1, id2, chrom, start_idx, stop_idx from segments where chrom < 2 and id1 not in (select id1 from segments where chrom >= 2) union all select id1, id2, chrom, start_idx, stop_idx from segments where chrom >= 2", "segments"))
 def merge_segments(s, d):
     found = V.segments(s, d)
-    return sgs.merge(found.filter("chrom = 0"), found.filter("chrom = 1"), ["id1", "id2"])
+    return sgs.merge(found.filter("chrom < 2"), found.filter("chrom >= 2"), ["id1", "id2"])
 
 
 @query("key_sets", "select p_partkey as k, 'union' as how from part where p_partkey < 50 or p_size < 5 union all select p_partkey, 'intersection' from part where p_partkey < 50 and p_size < 5 union all select p_partkey, 'range' from part where p_partkey >= 10 and p_partkey < 20")
