@@ -356,6 +356,13 @@ def kinship_paths(s, d):
     return G.path_kinship(people, _pairs(people), G.inbreeding(people))
 
 
+@query("kinship_asked", V.sql("""select i.fam, i.id as id1, j.id as id2, coalesce(a.a / 2, 0.0) as kinship from individuals i join individuals j on i.fam = j.fam
+left join amat a on a.fam = i.fam and a.id1 = i.id and a.id2 = j.id""", *KIN))
+def kinship_asked(s, d):
+    people = V.individuals(s, d)
+    return G.kinship_of(people, _pairs(people))
+
+
 @query("inbreeding", V.sql("select i.fam, i.id, coalesce(a.a / 2, 0.0) as inbreeding from individuals i left join amat a on a.fam = i.fam and a.id1 = i.father and a.id2 = i.mother", *KIN))
 def inbreeding(s, d):
     return G.inbreeding(V.individuals(s, d))

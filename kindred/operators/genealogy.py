@@ -86,12 +86,26 @@ def lineage(individuals: DataFrame, via: str = "mother") -> DataFrame:
     raise ValueError("the pedigree has a cycle")
 
 
-def paths_down(individuals: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """(fam, start, end, path): every path of descent as an array of ids, from ``starts`` (fam, id) or from everyone.
+def closed_up(individuals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(fam, id): the asked persons (fam, id) and all their ancestors, one row each."""
+    up = edges(individuals).select("fam", "id", "parent")
+    out = frontier = asked.select("fam", "id").distinct()
+    for _ in range(MOST_GENERATIONS):
+        frontier = cut(frontier.join(up, ["fam", "id"]).select("fam", F.col("parent").alias("id")).distinct())
+        if not frontier.head(1):
+            return cut(out.distinct())
+        out = out.unionByName(frontier)
+    raise ValueError("the pedigree has a cycle")
+
 
-    Paths multiply in looped pedigrees: name the starts there."""
+def paths_down(individuals: DataFrame, starts: DataFrame | None = None, through: DataFrame | None = None) -> DataFrame:
+    """(fam, start, end, path): every path of descent as an array of ids, from ``starts`` (fam, id) or from everyone,
+    over persons of ``through`` (fam, id) alone if given.
+
+    Paths multiply in looped pedigrees: name the starts there, and the persons that paths may lead to."""
     begin = (individuals if starts is None else starts).select("fam", F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path"))
-    down = edges(individuals).select("fam", F.col("parent").alias("end"), F.col("id").alias("_child"))
+    down = edges(individuals if through is None else individuals.join(through.select("fam", "id"), ["fam", "id"], "left_semi"))
+    down = down.select("fam", F.col("parent").alias("end"), F.col("id").alias("_child"))
     out, frontier = begin, begin
     for _ in range(MOST_GENERATIONS):
         frontier = cut(frontier.join(down, ["fam", "end"]).select("fam", "start", F.col("_child").alias("end"), F.concat("path", F.array("_child")).alias("path")))
@@ -103,8 +117,10 @@ def paths_down(individuals: DataFrame, starts: DataFrame | None = None) -> DataF
 
 def paths_between(individuals: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fam, id1, id2, anc, path): direct descent either way, and up to a common ancestor and down again with no
-    person twice."""
-    down = cut(paths_down(individuals))
+    person twice. Only paths between asked persons and their ancestors are listed."""
+    asked = pairs.select("fam", F.explode(F.array("id1", "id2")).alias("id"))
+    reach = closed_up(individuals, asked)
+    down = cut(paths_down(individuals, reach, reach))
     x = down.select("fam", F.col("start").alias("anc"), F.col("end").alias("id1"), F.col("path").alias("_p"))
     y = down.select("fam", F.col("start").alias("anc"), F.col("end").alias("id2"), F.col("path").alias("_q"))
     met = pairs.join(x, ["fam", "id1"]).join(y, ["fam", "id2", "anc"])
@@ -125,8 +141,13 @@ def _weights(paths: DataFrame) -> DataFrame:
 
 
 def inbreeding(individuals: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(fam, id, inbreeding): the kinship of the parents, 0 where one is unknown; generation by generation, as the
-    weights D of ancestors need their own coefficients first."""
+    """(fam, id, inbreeding): the kinship of the parents, 0 where one is unknown."""
+    return coefficients(individuals, paths)[0]
+
+
+def coefficients(individuals: DataFrame, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fam, id, inbreeding) and (fam, anc, d), the weights D; generation by generation, as the weights of ancestors
+    need their own coefficients first."""
     paths = cut(descent(individuals) if paths is None else paths)
     known = depth(individuals, paths)
     weights = cut(_weights(paths))
@@ -144,7 +165,7 @@ def inbreeding(individuals: DataFrame, paths: DataFrame | None = None) -> DataFr
         new = here.select("fam", "id").join(theta, ["fam", "id"], "left").select("fam", "id", F.coalesce("_t", F.lit(0.0)).alias("inbreeding"))
         d = d.unionByName(cut(mendelian(here, out)))
         out = out.unionByName(cut(new))
-    return out
+    return out, d
 
 
 def mendelian(individuals: DataFrame, inbreeding_of: DataFrame) -> DataFrame:
@@ -160,7 +181,7 @@ def mendelian(individuals: DataFrame, inbreeding_of: DataFrame) -> DataFrame:
 def additive(individuals: DataFrame, subset: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """(fam, id1, id2, value): non-zero entries of A, both triangles; ``subset`` (fam, id) limits rows and columns."""
     paths = cut(descent(individuals) if paths is None else paths)
-    d = mendelian(individuals, inbreeding(individuals, paths))
+    d = coefficients(individuals, paths)[1]
     weights = _weights(paths)
     if subset is not None:
         weights = weights.join(subset.select("fam", "id"), ["fam", "id"], "left_semi")
@@ -175,6 +196,43 @@ def kinship(individuals: DataFrame, paths: DataFrame | None = None) -> DataFrame
     return additive(individuals, paths=paths).filter("id1 <= id2").select("fam", "id1", "id2", (F.col("value") / 2).alias("kinship"))
 
 
+def kinship_of(individuals: DataFrame, pairs: DataFrame, inbreeding_of: DataFrame | None = None) -> DataFrame:
+    """(fam, id1, id2, kinship) of the asked pairs (fam, id1, id2), 0 for strangers; with oneself (1 + F) / 2.
+
+    A pair's relationship is an entry of A v with v the indicator of ``id1``: one sweep up the generations gathers v's
+    ancestors with their weights, those are multiplied by D, and one sweep down, over ancestors of asked persons only,
+    brings the sums to ``id2``. A sweep has at most a row for each distinct ``id1``, person and generation, whatever the number
+    of paths, pairs and common ancestors. ``inbreeding_of`` (fam, id, inbreeding) of the persons above the pairs saves
+    working it out. Repeated pairs give repeated rows; a pair with a person that is not in the table has a null kinship."""
+    asked = pairs.select("fam", F.explode(F.array("id1", "id2")).alias("id"))
+    reach = closed_up(individuals, asked)
+    here = cut(individuals.join(reach, ["fam", "id"], "left_semi").select("fam", "id", "father", "mother"))
+    d = coefficients(here)[1] if inbreeding_of is None else mendelian(here, inbreeding_of)
+    links = edges(here).select("fam", "id", "parent")
+
+    def swept(begin: DataFrame, here_of: str, to: str) -> DataFrame:
+        steps = links.select("fam", F.col(here_of).alias("at"), F.col(to).alias("_to"))
+        out = frontier = begin
+        for _ in range(MOST_GENERATIONS):
+            moved = frontier.join(steps, ["fam", "at"]).groupBy("fam", "source", F.col("_to").alias("at")).agg((F.sum("w") * 0.5).alias("w"))
+            frontier = cut(moved)
+            if not frontier.head(1):
+                return cut(out.groupBy("fam", "source", "at").agg(F.sum("w").alias("w")))
+            out = out.unionByName(frontier)
+        raise ValueError("the pedigree has a cycle")
+
+    known = here.select("fam", F.col("id").alias("source"))
+    sources = pairs.select("fam", F.col("id1").alias("source")).distinct().join(known, ["fam", "source"], "left_semi")
+    up = swept(sources.select("fam", "source", F.col("source").alias("at"), F.lit(1.0).alias("w")), "id", "parent")
+    weighed = up.join(d.withColumnRenamed("anc", "at"), ["fam", "at"]).select("fam", "source", "at", (F.col("w") * F.col("d")).alias("w"))
+    down = swept(weighed, "parent", "id").select("fam", F.col("source").alias("id1"), F.col("at").alias("id2"), (F.col("w") / 2).alias("_k"))
+    there = here.select("fam", "id", F.lit(True).alias("_in"))
+    out = pairs.join(down, ["fam", "id1", "id2"], "left")
+    for side, seen in (("id1", "_in1"), ("id2", "_in2")):
+        out = out.join(there.select("fam", F.col("id").alias(side), F.col("_in").alias(seen)), ["fam", side], "left")
+    return out.select("fam", "id1", "id2", F.when(F.col("_in1") & F.col("_in2"), F.coalesce("_k", F.lit(0.0))).alias("kinship"))
+
+
 def fraternity(individuals: DataFrame, kin: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fam, id1, id2, fraternity): probability of sharing both alleles by descent; 0 where a parent is unknown."""
     both = kin.unionByName(kin.filter("id1 <> id2").select("fam", F.col("id2").alias("id1"), F.col("id1").alias("id2"), "kinship"))

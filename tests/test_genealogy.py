@@ -62,3 +62,41 @@ def test_mitochondrial_matrix(people):
     m = {(r.id1, r.id2) for r in G.mitochondrial(people.filter("fam = 'f'")).collect()}
     assert ("2", "5") in m and ("3", "5") in m and ("7", "8") not in m and ("9", "9") in m
     assert G.mitochondrial(people, people.filter(F.lit(False))).count() == 0
+
+
+def test_kinship_of_asked_pairs(people, spark):
+    every = people.select("fam", F.col("id").alias("id1")).join(people.select("fam", F.col("id").alias("id2")), "fam")
+    whole = {(r.fam, r.id1, r.id2): r.value / 2 for r in G.additive(people).collect()}
+    got = {(r.fam, r.id1, r.id2): r.kinship for r in G.kinship_of(people, every).collect()}
+    assert len(got) == 162 and all(v == whole.get(k, 0.0) for k, v in got.items())
+    assert {(r.fam, r.id1, r.id2): r.kinship for r in G.kinship_of(people, every, G.inbreeding(people)).collect()} == got
+    some = spark.createDataFrame([("f", "8", "7"), ("f", "8", "7"), ("f", "1", "no"), ("no", "1", "1"), ("f", "1", "2"), ("f", None, "2")], "fam string, id1 string, id2 string")
+    few = G.kinship_of(people, some).collect()
+    lost = [r for r in few if r.id2 == "no" or r.fam == "no" or r.id1 is None]
+    assert {r.kinship for r in lost} == {None} and len(lost) == 3
+    assert sorted((r.fam, r.id1, r.id2, r.kinship) for r in few if r not in lost) == [("f", "1", "2", 0.0)] + [("f", "8", "7", 0.0625)] * 2
+    assert G.kinship_of(people, some.limit(0)).count() == 0
+
+
+def test_kinship_of_asked_pairs_in_a_deep_looped_pedigree(spark):
+    """Seven generations of four with random parents, some unknown, against the tabular method on dense matrices."""
+    import random
+
+    import numpy as np
+
+    rng, rows, a = random.Random(3), [], np.zeros((28, 28))
+    for i in range(28):
+        above = range(max(0, i // 4 * 4 - 8), i // 4 * 4)
+        f, m = (rng.choice(above) if above and rng.random() < 0.9 else None for _ in range(2))
+        if f is not None and f == m:
+            m = None
+        for j in range(i):
+            a[i, j] = a[j, i] = ((a[j, f] if f is not None else 0) + (a[j, m] if m is not None else 0)) / 2
+        a[i, i] = 1 + (a[f, m] / 2 if f is not None and m is not None else 0)
+        rows.append(("d", i, f, m, 0))
+    deep = spark.createDataFrame(rows, "fam string, id int, father int, mother int, sex int")
+    asked = [("d", rng.randrange(28), rng.randrange(28)) for _ in range(60)] + [("d", 27, 27)]
+    got = G.kinship_of(deep, spark.createDataFrame(asked, "fam string, id1 int, id2 int")).collect()
+    assert len(got) == 61 and all(abs(r.kinship - a[r.id1, r.id2] / 2) < 1e-12 for r in got)
+    between = G.paths_between(deep, spark.createDataFrame([("d", 12, 13)], "fam string, id1 int, id2 int"))
+    assert all(max(r.path) <= 13 for r in between.collect())
