@@ -7,8 +7,9 @@ its 100-entry table, and ends with an ID3v1 tag. ``with_media_info`` parses any
 
 Defined results: a null text is empty; an empty text makes a payload of 192 spaces; a null medium gives an empty
 result (zero frames, empty payload); checksums of all three layers are verified where frames carry them; bytes that are no frame are skipped and counted; a repeated row gives a
-repeated result; other columns of the input are not read, so their names cannot clash. Duration is exact: samples
-and rate as integers.
+repeated result; other columns of the input are not read, so their names cannot clash. Ids may be of any type and columns
+have any name. Duration is exact: samples and rate as integers, without the delay and padding that an encoder names
+beside its Xing or Info table. ID3 tags are read by their own version (2.2, 2.3, 2.4).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import only, slices, utf8
 
@@ -164,10 +166,17 @@ class AudioInfo:
     vbr_frames: int = 0
     vbr_bytes: int = 0
     toc: bytes = b""
+    delay: int = 0
+    padding: int = 0
+    stretches: list[int] = field(default_factory=list)
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     payload: bytes = b""
 
+    def heard(self) -> int:
+        """Samples without those that the encoder put before and after the sound."""
+        return max(0, self.samples - self.delay - self.padding)
+
     def feature(self) -> str:
         seek = zlib.crc32(",".join(map(str, self.offsets)).encode())
         return (
@@ -221,22 +230,64 @@ def encode(payload: bytes) -> bytes:
     return _id3v2({"payload": str(len(payload))}) + xing + sound + last
 
 
+def _text_of(body: bytes) -> list[str]:
+    """Strings of a text frame: a byte for the encoding, then strings that a null ends."""
+    name = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else 0, "latin-1")
+    return [x.lstrip("\ufeff") for x in body[1:].decode(name, "replace").rstrip("\0").split("\0")]
+
+
+def _read_id3(version: int, flags: int, body: bytes, tags: dict[str, str]) -> None:
+    """Add the text frames of an ID3 tag to ``tags``. In version 2 names have 3 bytes and sizes 3; in 3 sizes are plain, in 4 of
+    7 bits a byte. Unsynchronised bytes are put back, an extended header is passed over; other versions are skipped."""
+    if version not in (2, 3, 4):
+        return
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    wide, at = (3, 0) if version == 2 else (4, 0)
+    if flags & 0x40 and version > 2:
+        at = 4 + int.from_bytes(body[:4], "big") if version == 3 else _unsyncsafe(body[:4].ljust(4, b"\0"))
+    head = 6 if version == 2 else 10
+    while at + head <= len(body) and body[at : at + wide].strip(b"\0"):
+        sized = body[at + wide : at + 2 * wide]
+        n = _unsyncsafe(sized) if version == 4 else int.from_bytes(sized, "big")
+        name, text = body[at : at + wide].decode("latin-1"), body[at + head : at + head + n]
+        if version == 4 and body[at + 9] & 2:
+            text = text.replace(b"\xff\0", b"\xff")
+        if version == 4 and body[at + 9] & 1:
+            text = text[4:]
+        if name in ("TXXX", "TXX"):
+            key, *rest = _text_of(text)
+            tags[key] = "\0".join(rest)
+        elif name[0] == "T":
+            tags[name] = "\0".join(_text_of(text))
+        at += head + n
+
+
+def _lame_trim(data: bytes) -> tuple[int, int]:
+    """(delay, padding) in samples of the encoder's part of a Xing or Info table: two numbers of 12 bits after the encoder's
+    name and 12 bytes more; (0, 0) where no encoder is named."""
+    if len(data) < 24 or data[:4] not in (b"LAME", b"Lavf", b"Lavc", b"L3.9"):
+        return 0, 0
+    both = int.from_bytes(data[21:24], "big")
+    return both >> 12, both & 0xFFF
+
+
+def _vbri_offsets(data: bytes, at: int) -> list[int]:
+    """Sizes of the stretches of a VBRI table that starts at ``at``: entries, scale, entry width, frames of an entry, entries."""
+    n, scale, width = (int.from_bytes(data[at + k : at + k + 2], "big") for k in (18, 20, 22))
+    first = at + 26
+    if not 1 <= width <= 4 or first + n * width > len(data):
+        return []
+    return [scale * int.from_bytes(data[first + k * width : first + (k + 1) * width], "big") for k in range(n)]
+
+
 def parse(data: bytes) -> AudioInfo:
     """Tags, frames, tables, checksums and payload of an MPEG audio stream; resynchronises after foreign bytes."""
     info = AudioInfo()
     at, end = 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = _unsyncsafe(data[at + 6 : at + 10])
-        p, stop = at + 10, min(end, at + 10 + size)
-        while p + 10 <= stop and data[p : p + 4].strip(b"\0"):
-            n = _unsyncsafe(data[p + 4 : p + 8])
-            name, body = data[p : p + 4].decode("latin-1"), data[p + 10 : p + 10 + n]
-            if name == "TXXX" and body[:1] == b"\x03":
-                key, _, value = body[1:].partition(b"\0")
-                info.tags[key.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-            elif name[0] == "T":
-                info.tags[name] = body[1:].decode("utf-8" if body[:1] == b"\x03" else "latin-1", "replace").rstrip("\0")
-            p += 10 + n
+        stop = min(end, at + 10 + _unsyncsafe(data[at + 6 : at + 10]))
+        _read_id3(data[at + 3], data[at + 5], data[at + 10 : stop], info.tags)
         at = stop
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
@@ -271,10 +322,12 @@ def parse(data: bytes) -> AudioInfo:
                 if flags & 2:
                     info.vbr_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
                 if flags & 4:
-                    info.toc = data[p : p + 100]
+                    info.toc, p = data[p : p + 100], p + 100
+                info.delay, info.padding = _lame_trim(data[p + 4 * (flags >> 3 & 1) : at + head.size])
             elif data[side_at + 32 : side_at + 36] == b"VBRI":
                 info.vbr = "vbri"
                 info.vbr_bytes, info.vbr_frames = (int.from_bytes(data[side_at + k : side_at + k + 4], "big") for k in (42, 46))
+                info.stretches = _vbri_offsets(data[: at + head.size], side_at + 32)
             if info.vbr:
                 at += head.size
                 continue
@@ -307,23 +360,22 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n_bytes long, media binary): each text's payload as an MPEG audio stream."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, "1"):
             texts = utf8(b.column(1))
             media = [encode(t + b" " * (-len(t) % BLOCK if t else BLOCK)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     df = only(df, id_col, text_col)
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.mapInArrow(store, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return df.toDF("0", "1").mapInArrow(store, StructType([df.schema[0], StructField("n_bytes", LongType()), StructField("media", BinaryType())]))
 
 
 def with_media_info(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, digests of the payload read back and of the medium, exact duration, seek offsets)."""
     df = only(df, id_col, media_col, *carry)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != media_col]
+    kept = [f for k, f in enumerate(df.schema.fields) if k != 1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, media_col):
+        for b in slices(batches, "1"):
             media = [x or b"" for x in b.column(1).to_pylist()]
             infos = [parse(m) for m in media]
             cols = [
@@ -335,14 +387,12 @@ def with_media_info(df: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 pa.array(map(len, media), pa.int64()),
                 pa.array((hashlib.sha256(m).hexdigest() for m in media), pa.string()),
                 pa.array((i.feature() for i in infos), pa.string()),
-                pa.array((i.samples for i in infos), pa.int64()),
+                pa.array((i.heard() for i in infos), pa.int64()),
                 pa.array((i.rate for i in infos), pa.int32()),
                 pa.array((i.frames for i in infos), pa.int64()),
                 pa.array((i.offsets for i in infos), pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, *carry, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_samples", "sample_rate", "n_frames", "seek_offsets"])
 
-    return df.mapInArrow(
-        read,
-        ", ".join([*kinds, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, n_frames long, seek_offsets array<bigint>"]),
-    )
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, n_frames long, seek_offsets array<bigint>"
+    return df.toDF(*map(str, range(len(df.columns)))).mapInArrow(read, StructType([*kept, *StructType.fromDDL(added).fields]))

@@ -48,8 +48,10 @@ from .wordbpe import _LOWER, hashes
 
 #: Growth of size classes; coordinates of a point; shingles up to which it is the only one; points of a leaf, leaves of a node.
 STEP, GROUPS, COARSE, LEAF, FANOUT = 1.35, 128, 512, 32, 8
-#: Bits of the fixed bitmap of texts to fetch; sets that a task remembers; pairs that are tested at a time.
-BITS, REMEMBERED, SLAB = 1 << 24, 500_000, 1 << 14
+#: Least and most bits of the bitmap of texts to fetch, which has ``SPREAD`` bits for each set at least while it may grow.
+LEAST_BITS, MOST_BITS, SPREAD = 1 << 20, 1 << 27, 16
+#: Sets that a task remembers; pairs that are tested at a time.
+REMEMBERED, SLAB = 500_000, 1 << 14
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
@@ -469,6 +471,12 @@ def dealt(tiles: DataFrame, work: Work) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def bits_for(n: int) -> int:
+    """Bits of a bitmap for ``n`` keys, a power of two; 0 where the largest would let most keys through."""
+    bits = max(LEAST_BITS, 1 << (SPREAD * n - 1).bit_length())
+    return min(bits, MOST_BITS) if n * 2 <= MOST_BITS else 0
+
+
 def chunks(most_sets: int, most_weight: int):
     """Chunks that the rows of a group need."""
     return F.greatest(F.ceil(F.count("*") / most_sets), F.ceil(F.sum("weight") / most_weight)).cast("int")
@@ -590,23 +598,26 @@ def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: st
     joined = materialise(joined.select("node", "cluster", "n", F.col("of.text_key").alias("_key"), F.col("of._id").alias("_of")), "members")
     discard(wide, clusters)
 
-    # a bitmap of fixed size lets most other texts go before the join; what it lets through by chance the join drops
-    bit = [F.col("_key").bitwiseAND(BITS - 1), F.shiftrightunsigned("_key", 24).bitwiseAND(BITS - 1)]
-    placed = joined.select(F.explode(F.array(*bit)).alias("p")).groupBy(F.shiftrightunsigned("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("v"))
-    words = placed.toArrow()  # at most BITS / 32 rows
-    bitmap = np.zeros(BITS // 32, np.uint32)
-    bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+    # a bitmap sized by the count lets most other texts go before the join; what it lets through by chance the join
+    # drops, and so it drops all of them where there are too many sets for a bitmap
+    bits = bits_for(joined.count())
+    bitmap = np.zeros(bits // 32, np.uint32)
+    if bits:
+        bit = [F.col("_key").bitwiseAND(bits - 1), F.shiftrightunsigned("_key", 32).bitwiseAND(bits - 1)]
+        placed = joined.select(F.explode(F.array(*bit)).alias("p")).groupBy(F.shiftrightunsigned("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("v"))
+        words = placed.toArrow()  # at most MOST_BITS / 32 rows
+        bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(1).to_numpy().view(_U)
             ok = np.ones(len(key), bool)
-            for p in (key & _U(BITS - 1), key >> _U(24) & _U(BITS - 1)):
+            for p in (key & _U(bits - 1), key >> _U(32) & _U(bits - 1)):
                 ok &= (bitmap[(p >> _U(5)).astype(np.int64)] >> (p & _U(31)).astype(np.uint32) & 1).astype(bool)
             yield b.filter(pa.array(ok))
 
     # one text of each set; a copy may come with it and falls out in the task
-    held = docs.mapInArrow(wanted, f"_id {kind}, text_key long, _text string")
+    held = docs.mapInArrow(wanted, docs.schema) if bits else docs
     held = held.join(joined, (F.col("text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_of")))
     held = materialise(held.select("cluster", "node", "n", F.col("n").alias("weight"), F.col("_text").alias("payload")), "held")
     discard(joined)

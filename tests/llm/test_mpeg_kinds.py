@@ -76,3 +76,49 @@ def test_seek_table_points_at_frames():
         target = first + info.toc[p] * info.vbr_bytes // 256
         wanted = info.offsets[p * len(info.offsets) // 100]
         assert abs(target - wanted) <= 960 + info.vbr_bytes // 256
+
+
+def tag(version, frames, flags=0):
+    body = b"".join(frames)
+    return b"ID3" + bytes((version, 0, flags)) + M._syncsafe(len(body)) + body
+
+
+def test_id3_of_each_version():
+    """Sizes: 3 bytes in version 2, plain in 3, seven bits a byte in 4; a title of 300 bytes, and one more frame after it."""
+    sound = M.encode(b"x" * 500)
+    sound = sound[10 + M._unsyncsafe(sound[6:10]) :]
+    title = "t" * 300
+    two = [b"TT2" + (301).to_bytes(3, "big") + b"\0" + title.encode(), b"TAL" + (3).to_bytes(3, "big") + b"\0ab"]
+    three = [b"TIT2" + (301).to_bytes(4, "big") + b"\0\0\0" + title.encode(), b"TALB" + (7).to_bytes(4, "big") + b"\0\0\1" + "ab".encode("utf-16")]
+    four = [b"TIT2" + M._syncsafe(301) + b"\0\0\3" + title.encode(), b"TALB" + M._syncsafe(5) + b"\0\0\2" + "ab".encode("utf-16-be")]
+    for version, frames, names in ((2, two, ("TT2", "TAL")), (3, three, ("TIT2", "TALB")), (4, four, ("TIT2", "TALB"))):
+        info = M.parse(tag(version, frames) + sound)
+        assert [info.tags[n] for n in names] == [title, "ab"] and info.payload == b"x" * 500 and info.skipped == 0
+    # an extended header of 10 bytes in version 3; bytes after FF put back; an unknown version is passed over
+    more = bytes((0, 0, 0, 6)) + bytes(6)
+    assert M.parse(tag(3, [more, *three], 0x40) + sound).tags["TALB"] == "ab"
+    odd = b"TIT2" + (3).to_bytes(4, "big") + b"\0\0\0\xff\0\xe0"
+    assert M.parse(tag(3, [odd], 0x80) + sound).tags["TIT2"] == "\xff\xe0"
+    assert "TIT2" not in M.parse(tag(9, three) + sound).tags and M.parse(tag(9, three) + sound).payload == b"x" * 500
+    assert M.parse(tag(3, [b"TIT2" + (10**6).to_bytes(4, "big") + b"\0\0\0short"]) + sound).tags["TIT2"] == "short"
+
+
+def test_delay_padding_and_vbri_stretches():
+    head = bytes((0xFF, 0xFB, 8 << 4 | 1 << 2, 0xC0))
+    size = M.read_header(head).size
+    plain = head.ljust(size, b"\0")
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    for flags in (0, 1, 15):
+        fields = bytes(4 * (flags & 1) + 4 * (flags >> 1 & 1) + 100 * (flags >> 2 & 1) + 4 * (flags >> 3))
+        info = M.parse((head + bytes(17) + b"Info" + flags.to_bytes(4, "big") + fields + lame).ljust(size, b"\0") + plain * 3)
+        assert (info.vbr, info.delay, info.padding, info.samples, info.heard()) == ("info", 576, 1000, 3456, 1880)
+    table = b"VBRI" + bytes(6) + (900).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"\0\3\0\2\0\2\0\1" + b"\0\5\0\6\1\0"
+    info = M.parse((head + bytes(32) + table).ljust(size, b"\0") + plain * 3)
+    assert (info.vbr_frames, info.stretches, info.heard()) == (3, [10, 12, 512], 3456)
+
+
+def test_ids_of_any_type_and_names_with_backticks(spark):
+    rows = spark.createDataFrame([("a", "some text"), (None, None)], "`i``d` string, `te.xt` string")
+    made = M.with_media(rows, "i`d", "te.xt")
+    found = {r[0]: r for r in M.with_media_info(made, "i`d", "media", ("n_bytes",)).collect()}
+    assert {k: (r.n_bytes, r.payload_bytes) for k, r in found.items()} == {"a": (9, 192), None: (0, 192)}

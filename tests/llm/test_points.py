@@ -15,3 +15,10 @@ def test_points_of_large_sets_are_exact():
     assert (rtree_join.unpack_points(packed) == p).all()
     sizes = np.full(2, 3_065_536)
     assert rtree_join.near_pairs([7, 8], list(rtree_join.unpack_points([packed[4]] * 2)), sizes, np.ones(2, bool), 90, 100, rtree_join.Forest()) != []
+
+
+def test_bitmap_grows_with_the_count():
+    assert rtree_join.bits_for(0) == rtree_join.bits_for(1000) == rtree_join.LEAST_BITS
+    for n in (10**5, 10**6, 8 * 10**6):
+        assert 16 * n <= rtree_join.bits_for(n) < 64 * n
+    assert rtree_join.bits_for(5 * 10**7) == rtree_join.MOST_BITS and rtree_join.bits_for(10**8) == 0
