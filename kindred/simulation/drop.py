@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import SimulationError
 from ..operators.genealogy import MOST_GENERATIONS, depth, descent, edges
 from ..operators.individuals import is_founder
-from ..plans.tables import cut, discard
+from ..plans.tables import apart, cut, discard
 from .random import choice, uniform
 from .trait import Trait
 
@@ -64,14 +64,14 @@ def gene_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, s
     known = cut(founders.select(*shape))
     levels = cut(depth(individuals))
     deepest = levels.agg(F.max("depth")).first()[0] or 0
-    ways = edges(individuals).join(levels, ["fam", "id"])
+    ways = edges(individuals).join(apart(levels), ["fam", "id"])
     for level in range(1, deepest + 1):
         gametes = ways.filter(F.col("depth") == level).select("fam", "id", "parent", F.col("via").alias("hap")).join(replicates)
         chosen = strands(gametes, ["rep", "fam", "id", "hap", "parent"], markers, f"{seed}/drop")
         if pins is not None:
             chosen = _pinned(chosen, pins, markers, f"{seed}/drop")
         source = known.select("rep", "fam", F.col("id").alias("parent"), F.col("hap").alias("strand"), *LOCUS, "allele")
-        made = chosen.join(source, ["rep", "fam", "parent", "strand", *LOCUS]).select(*shape)
+        made = chosen.join(apart(source), ["rep", "fam", "parent", "strand", *LOCUS]).select(*shape)
         known = known.unionByName(cut(made))
     return known
 
@@ -84,18 +84,18 @@ def genotypes_of(haplotypes: DataFrame, keys: list[str]) -> DataFrame:
 def constrain(haplotypes: DataFrame, constraints: DataFrame) -> DataFrame:
     """Founder haplotypes with alleles set by (fam, id, hap, locus, allele) rows."""
     fixed = constraints.select("fam", "id", "hap", *LOCUS, F.col("allele").alias("_set"))
-    return haplotypes.join(fixed, ["fam", "id", "hap", *LOCUS], "left").withColumn("allele", F.coalesce("_set", "allele")).drop("_set")
+    return haplotypes.join(apart(fixed), ["fam", "id", "hap", *LOCUS], "left").withColumn("allele", F.coalesce("_set", "allele")).drop("_set")
 
 
 def ibd_sharing(dropped: DataFrame, who: DataFrame) -> DataFrame:
     """(rep, fam, locus, id1, id2, shared): labels in common of pairs of ``who`` (fam, id), id1 < id2, 0 to 2."""
-    own = genotypes_of(dropped.join(who.select("fam", "id"), ["fam", "id"], "left_semi"), ["rep", "fam", "id"])
+    own = genotypes_of(dropped.join(apart(who.select("fam", "id")), ["fam", "id"], "left_semi"), ["rep", "fam", "id"])
     x = own.withColumnsRenamed({"id": "id1", "a0": "_a", "a1": "_b"})
     y = own.withColumnsRenamed({"id": "id2", "a0": "_c", "a1": "_d"})
     a, b, c, d = (F.col(n) for n in ("_a", "_b", "_c", "_d"))
     both = ((a == c) & (b == d)) | ((a == d) & (b == c))
     one = (a == c) | (a == d) | (b == c) | (b == d)
-    return x.join(y, ["rep", "fam", *LOCUS]).filter("id1 < id2").select("rep", "fam", *LOCUS, "id1", "id2", F.when(both, 2).when(one, 1).otherwise(0).alias("shared"))
+    return x.join(apart(y), ["rep", "fam", *LOCUS]).filter("id1 < id2").select("rep", "fam", *LOCUS, "id1", "id2", F.when(both, 2).when(one, 1).otherwise(0).alias("shared"))
 
 
 def constrained_drop(individuals: DataFrame, markers: DataFrame, founders: DataFrame, accept: Callable[[DataFrame], DataFrame], seed: int | str = 1, reps: int = 1, attempts: int = 1000, first: int = 4) -> DataFrame:
@@ -156,12 +156,12 @@ def descent_pins(individuals: DataFrame, constraints: DataFrame, seed: int | str
     one marker."""
     up = edges(individuals).select("fam", F.col("id").alias("at"), "parent", "via")
     lead = descent(individuals).select("fam", F.col("id").alias("parent"), F.col("anc").alias("ancestor")).distinct()
-    ways = cut(up.join(lead, ["fam", "parent"]))  # (fam, at, parent, via, ancestor): steps that lead to an ancestor
+    ways = cut(up.join(apart(lead), ["fam", "parent"]))  # (fam, at, parent, via, ancestor): steps that lead to an ancestor
     asked = cut(constraints.select("fam", "id", "ancestor", *LOCUS, "chromatid").distinct())
     who = ["fam", "id", "ancestor", *LOCUS, "chromatid"]
     frontier, taken = asked.withColumn("at", F.col("id")), None
     for _ in range(MOST_GENERATIONS):
-        step = frontier.join(ways, ["fam", "at", "ancestor"]).groupBy(*who, "at").agg(F.min(F.struct(uniform(f"{seed}/line", "fam", "id", "at", "via").alias("u"), "via", "parent")).alias("x"))
+        step = frontier.join(apart(ways), ["fam", "at", "ancestor"]).groupBy(*who, "at").agg(F.min(F.struct(uniform(f"{seed}/line", "fam", "id", "at", "via").alias("u"), "via", "parent")).alias("x"))
         step = cut(step.select(*who, "at", "x.via", "x.parent"))
         if not step.head(1):
             break
@@ -171,10 +171,10 @@ def descent_pins(individuals: DataFrame, constraints: DataFrame, seed: int | str
         if asked.head(1):
             raise SimulationError("a constrained person does not descend from the ancestor")
         taken = asked.withColumns({"at": F.col("id"), "via": F.lit(0), "parent": F.col("id")})
-    if asked.join(taken.filter("parent = ancestor").select(*who), who, "left_anti").head(1):
+    if asked.join(apart(taken.filter("parent = ancestor").select(*who)), who, "left_anti").head(1):
         raise SimulationError("a constrained person does not descend from the ancestor")
     above = taken.select(*who, F.col("at").alias("parent"), F.col("via").alias("_v"))
-    need = taken.join(above, [*who, "parent"], "left").withColumn("pin", F.when(F.col("parent") == F.col("ancestor"), F.col("chromatid")).otherwise(F.col("_v")))
+    need = taken.join(apart(above), [*who, "parent"], "left").withColumn("pin", F.when(F.col("parent") == F.col("ancestor"), F.col("chromatid")).otherwise(F.col("_v")))
     pins = cut(need.select("fam", F.col("at").alias("id"), F.col("via").alias("hap"), "chrom_idx", F.col("marker_idx").alias("pin_idx"), F.col("pin").cast("int").alias("pin")).distinct())
     if pins.groupBy("fam", "id", "hap", "chrom_idx", "pin_idx").count().filter("count > 1").head(1):
         raise SimulationError("constraints contradict each other")
@@ -189,14 +189,14 @@ def _pinned(chosen: DataFrame, pins: DataFrame, markers: DataFrame, seed: int |
     gamete = ["fam", "id", "hap", "chrom_idx"]
     every = pins.groupBy(*gamete).agg(F.sort_array(F.collect_list(F.struct("pin_idx", "pin"))).alias("_pins"))
     first = every.select(*gamete, F.col("_pins")[0]["pin_idx"].alias("pin_idx"), F.col("_pins")[0]["pin"].alias("pin"))
-    joined = chosen.join(first, gamete, "left")
+    joined = chosen.join(apart(first), gamete, "left")
     shown = F.max(F.when(F.col("marker_idx") == F.col("pin_idx"), F.col("strand"))).over(Window.partitionBy(*keys))
     turned = F.when(F.col("pin") != shown, 1 - F.col("strand")).otherwise(F.col("strand"))
     met = joined.withColumn("strand", turned).drop("pin_idx", "pin")
     several = every.filter(F.size("_pins") > 1)
     if not several.head(1):
         return met
-    free = met.join(several.select(*gamete), gamete, "left_anti")
+    free = met.join(apart(several.select(*gamete)), gamete, "left_anti")
     return free.select(*keys, "marker_idx", "strand").unionByName(_between(met, several, markers, keys, gamete, seed))
 
 
@@ -211,7 +211,7 @@ def _between(met: DataFrame, several: DataFrame, markers: DataFrame, keys: list[
     same = at.filter("exists(sequence(1, size(_pins) - 1), k -> _pins[k].cm = _pins[k - 1].cm and _pins[k].pin <> _pins[k - 1].pin)")
     if same.head(1):
         raise SimulationError("constraints contradict each other: two pins of a gamete at one place of the map")
-    rows = met.join(at, gamete).join(place, LOCUS)
+    rows = met.join(apart(at), gamete).join(place, LOCUS)
     rows = rows.withColumn("u", uniform(seed, "rep", "fam", "id", "hap", "parent", *LOCUS))
     rows = rows.withColumn("next", F.expr("get(filter(_pins, p -> p.i >= marker_idx), 0)")).withColumn("first", F.expr("_pins[0].i"))
     chain = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("marker_idx").alias("i"), "cm", "u", "strand", "next"))).alias("m"), F.first("first").alias("first"))
@@ -240,7 +240,7 @@ def descent_drop(individuals: DataFrame, markers: DataFrame, constraints: DataFr
 def ibd_states(dropped: DataFrame, who: DataFrame) -> DataFrame:
     """(rep, fam, locus, id1, id2, shared): as :func:`ibd_sharing`, and each person with themselves: 2 where both labels
     are the same, else 0."""
-    own = genotypes_of(dropped.join(who.select("fam", "id"), ["fam", "id"], "left_semi"), ["rep", "fam", "id"])
+    own = genotypes_of(dropped.join(apart(who.select("fam", "id")), ["fam", "id"], "left_semi"), ["rep", "fam", "id"])
     alone = own.select("rep", "fam", *LOCUS, F.col("id").alias("id1"), F.col("id").alias("id2"), F.when(F.col("a0") == F.col("a1"), 2).otherwise(0).alias("shared"))
     return ibd_sharing(dropped, who).unionByName(alone)
 
@@ -282,7 +282,7 @@ def _ranked(people: DataFrame, seed: int | str | None = None) -> DataFrame:
 def _parents(drawn: DataFrame, ranked: DataFrame) -> DataFrame:
     f = ranked.filter("sex = 0").select(F.col("_k").alias("_f"), F.col("id").alias("father"))
     m = ranked.filter("sex = 1").select(F.col("_k").alias("_m"), F.col("id").alias("mother"))
-    return drawn.join(f, "_f").join(m, "_m").select("child", "father", "mother", "sex")
+    return drawn.join(apart(f), "_f").join(apart(m), "_m").select("child", "father", "mother", "sex")
 
 
 def pool_start(spark, markers: DataFrame, size: int, seed: int | str = 1) -> DataFrame:
@@ -336,7 +336,7 @@ def delabel(spanned: DataFrame, founders: DataFrame, keys: list[str]) -> DataFra
     label = F.concat_ws("/", F.col("id").cast("string"), F.col("hap").cast("string"))
     source = founders.select(label.alias("anc"), *LOCUS, "allele")
     wide = spanned.withColumn("marker_idx", F.explode(F.sequence("start", F.col("stop") - 1)))
-    return wide.join(source, ["anc", *LOCUS]).select(*keys, "hap", *LOCUS, "allele")
+    return wide.join(apart(source), ["anc", *LOCUS]).select(*keys, "hap", *LOCUS, "allele")
 
 
 def founders_of(individuals: DataFrame) -> DataFrame:
