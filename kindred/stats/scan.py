@@ -1,8 +1,8 @@
 """Marker scan that fits the variance components again for each marker.
 
-Markers take their average-information steps side by side: a round is one pass over (family, marker) rows that adds up
-over families, for every marker still moving, all that its likelihood, gradient and information need at its own
-components. The state of a marker (components, step, likelihood) is a row of a table, never held by the driver; rows
+Markers take their average-information steps side by side: a round is one pass over (marker, pattern) rows (families laid
+together once, see :mod:`.patterns`) that adds up, for every marker still moving, all that its likelihood, gradient and
+information need at its own components. The state of a marker (components, step, likelihood) is a row of a table, never held by the driver; rows
 that have converged leave the passes that follow.
 
 Defined results (a person has at most one dose of a marker): people without a dose, the outcome or a fixed effect take no part; a marker with one kind of dose, or
@@ -11,7 +11,6 @@ whose dose the fixed effects explain in full, is left out; a marker that does no
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from math import erfc, log, pi, sqrt
 
@@ -26,23 +25,28 @@ from pyspark.sql.types import DoubleType
 
 from ..plans.tables import cut, discard
 from .lmm import Fit, MixedModel
+from .patterns import gather, known_doses
 
-#: Cells of covariances that are inverted at once.
+#: Numbers of patterns that are worked on at once.
 CELLS = 1 << 21
 
 
-def pieces(sigma: np.ndarray, z: np.ndarray, mats: np.ndarray) -> np.ndarray:
-    """Sums of families of one size, a row each: log-determinant, Z'WZ, Z'WMiWZ, Z'WMiWMjWZ (i <= j), tr(WMi). ``sigma``
-    (rows, effects), ``z`` (rows, people, columns) with the outcome last, ``mats`` (rows, effects, people, people)."""
+def pieces(sigma: np.ndarray, n: np.ndarray, z: np.ndarray, mats: np.ndarray) -> np.ndarray:
+    """Sums of patterns of one size, a row each: log-determinant, Z'WZ, Z'WMiWZ, Z'WMiWMjWZ (i <= j), tr(WMi). ``sigma``
+    (rows, effects), ``n`` families of each, ``z`` (rows, draws, people, columns) with the outcome last, ``mats`` (rows, effects,
+    people, people)."""
     rows, count = sigma.shape
+    people, q = z.shape[2:]
     v = np.einsum("rk,rkij->rij", sigma, mats)
     sign, logdet = np.linalg.slogdet(v)
     w = np.linalg.inv(v)
+    z = np.swapaxes(z, 1, 2).reshape(rows, people, -1)  # the draws side by side
     wz = w @ z
     mwz = mats @ wz[:, None]
-    turned = np.swapaxes(mwz, -1, -2)
-    second = [turned[:, i] @ w @ mwz[:, j] for i in range(count) for j in range(i, count)]
-    parts = [np.where(sign > 0, logdet, np.nan), np.swapaxes(wz, 1, 2) @ z, np.swapaxes(wz, 1, 2)[:, None] @ mwz, *second, np.einsum("rij,rkij->rk", w, mats)]
+    tall = lambda m: m.reshape(*m.shape[:-2], -1, q)
+    turned = lambda m: np.swapaxes(tall(m), -1, -2)
+    second = [turned(mwz[:, i]) @ tall(w @ mwz[:, j]) for i in range(count) for j in range(i, count)]
+    parts = [np.where(sign > 0, logdet, np.nan) * n, turned(wz) @ tall(z), turned(wz)[:, None] @ tall(mwz), *second, np.einsum("rij,rkij->rk", w, mats) * n[:, None]]
     return np.concatenate([np.reshape(p, (rows, -1)) for p in parts], axis=1)
 
 
@@ -79,51 +83,40 @@ def refit(model: MixedModel, starts: np.ndarray, doses: DataFrame, keys: tuple[s
     starts = np.asarray(starts, float)
     q = len(model.fixed) + 2 + use_dose
     floor = 1e-8 * float(starts.sum())
-    ids = model.complete().groupBy("fam").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    families = cut(ids.join(model.blocks(), "fam"), "families")
-    known = doses.filter("dose is not null").join(model.complete().select("fam", "id"), ["fam", "id"], "left_semi")
-    packed = known.groupBy("fam", *names).agg(F.collect_list(F.struct("id", F.col("dose").cast("double").alias("dose"))).alias("doses"), F.count("*").alias("_n"), F.sum("dose").cast("double").alias("_total"), F.min("dose").alias("_low"), F.max("dose").alias("_high"))
-    packed = cut(packed, "doses")
-    markers = packed.groupBy(*names).agg(F.sum("_n").alias("n"), F.sum("_total").alias("total"), F.min("_low").alias("_low"), F.max("_high").alias("_high")).filter("_low < _high")
+    known = known_doses(model, doses, names)
+    patterns = gather(model, known, names, use_dose)
+    markers = known.groupBy(*names).agg(F.count("*").alias("n"), F.sum("dose").alias("total"), F.min("dose").alias("_low"), F.max("dose").alias("_high")).filter("_low < _high")
     zeros = F.array(*[F.lit(0.0)] * count)
     state = cut(markers.select(*names, "n", "total", F.array(*[F.lit(float(x)) for x in starts]).alias("sigma"), zeros.alias("step"), F.lit(1.0).alias("shrink"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("beta"), F.lit(0.0).alias("se"), F.lit(0).alias("round"), F.lit(0).alias("done")), "state")
     width = 1 + q * q * (1 + count + count * (count + 1) // 2) + count
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.select(*names).schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
             key_of: dict[tuple, int] = {}
             firsts: list[int] = []
             total: list[np.ndarray] = []
-            waiting: dict[int, list[tuple]] = {}
+            waiting: dict[tuple[int, int], list[tuple]] = {}
 
-            def flush(size: int) -> None:
-                some = waiting.pop(size)
-                got = pieces(np.array([s[1] for s in some]), np.array([s[2] for s in some]), np.array([s[3] for s in some]))
+            def flush(shape: tuple[int, int]) -> None:
+                some = waiting.pop(shape)
+                got = pieces(*(np.array([s[k] for s in some]) for k in range(1, 5)))
                 for (k, *_), row in zip(some, got, strict=True):
                     total[k] += row
 
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for at, (fam, own, raw, some, sigma, step, shrink, *key) in enumerate(zip(*columns, strict=True)):
-                if fam != last:
-                    last = fam
-                    y, x, mats = pickle.loads(raw)
-                    mats = np.array(mats)
-                    place = {i: k for k, i in enumerate(own)}
-                here = sorted((place[s["id"]], s["dose"]) for s in some)
-                which = np.array([h[0] for h in here])
-                z = np.column_stack([x[which], *([[h[1] for h in here]] if use_dose else []), y[which]])
+            for at, (size, n, laid, raw, sigma, step, shrink, *key) in enumerate(zip(*columns, strict=True)):
                 k = key_of.setdefault(tuple(key), len(firsts))
                 if k == len(firsts):
                     firsts.append(at)
                     total.append(np.zeros(width))
-                size = len(which)
-                waiting.setdefault(size, []).append((k, np.maximum(np.array(sigma) + shrink * np.array(step), floor), z, mats[:, which][:, :, which]))
-                if len(waiting[size]) * size * size * count >= CELLS:
-                    flush(size)
-            for size in list(waiting):
-                flush(size)
+                z, mats = np.frombuffer(laid).reshape(-1, size, q), np.frombuffer(raw).reshape(count, size, size)
+                shape = size, len(z)
+                waiting.setdefault(shape, []).append((k, np.maximum(np.array(sigma) + shrink * np.array(step), floor), n, z, mats))
+                if len(waiting[shape]) * size * (size * count + len(z) * q) >= CELLS:
+                    flush(shape)
+            for shape in list(waiting):
+                flush(shape)
             rows = batch.select(names).take(pa.array(firsts, pa.int64()))
             values = pa.array([t.tolist() for t in total], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, values], names=[*names, "sums"])
@@ -161,8 +154,7 @@ def refit(model: MixedModel, starts: np.ndarray, doses: DataFrame, keys: tuple[s
     schema = f"{kinds}, n long, total double, sigma array<double>, step array<double>, shrink double, value double, beta double, se double, round int, done int"
     finished = None
     for k in range(1, most + 1):
-        moving = packed.select("fam", "doses", *names).join(state.select(*names, "sigma", "step", "shrink"), names)
-        rows = moving.join(families, "fam").select("fam", "ids", "block", "doses", "sigma", "step", "shrink", *names)
+        rows = patterns.join(state.select(*names, "sigma", "step", "shrink"), names).select("size", "n", "rows", "mats", "sigma", "step", "shrink", *names)
         sums = rows.mapInArrow(add, f"{kinds}, sums array<double>").groupBy(*names).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
         after = cut(sums.join(state, names).mapInArrow(advance, schema), "state")
         ended = after if k == most else after.filter("done > 0")
@@ -170,7 +162,7 @@ def refit(model: MixedModel, starts: np.ndarray, doses: DataFrame, keys: tuple[s
         state = after.filter("done = 0")
         if k < most and state.isEmpty():
             break
-    discard(families, packed)
+    discard(known, patterns)
     return finished.select(*names, "n", (F.col("total") / (2 * F.col("n"))).alias("frequency"), "beta", "se", F.col("value").alias("loglikelihood"), F.col("sigma").alias("components"), F.col("round").alias("rounds"), (F.col("done") == 1).alias("converged"))
 
 
