@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import FileFormatError
+from ..plans.tables import apart
 from .text import fields, placed, read_lines, rows
 
 
@@ -123,7 +124,7 @@ def read_germline(spark: SparkSession, path: str) -> DataFrame:
 def germline_lines(segments: DataFrame, markers: DataFrame) -> DataFrame:
     """(value): GERMLINE lines with marker labels and size in Mb."""
     m = markers.select("chrom", F.col("bp").alias("_bp"), F.col("label").alias("_l"))
-    out = segments.join(m.withColumnsRenamed({"_bp": "bp_start", "_l": "_l1"}), ["chrom", "bp_start"], "left").join(m.withColumnsRenamed({"_bp": "bp_stop", "_l": "_l2"}), ["chrom", "bp_stop"], "left")
+    out = segments.join(apart(m.withColumnsRenamed({"_bp": "bp_start", "_l": "_l1"})), ["chrom", "bp_start"], "left").join(apart(m.withColumnsRenamed({"_bp": "bp_stop", "_l": "_l2"})), ["chrom", "bp_stop"], "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     size = F.format_string("%.6f", (F.col("bp_stop") - F.col("bp_start")) / 1e6)
     n = (F.col("stop_idx") - F.col("start_idx")).cast("string")
