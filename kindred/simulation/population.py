@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut, discard
+from ..plans.tables import apart, cut, discard
 from .drop import LOCUS, equilibrium_haplotypes, pool_founders, random_mating, strands
 from .random import choice
 
@@ -93,6 +93,8 @@ def mean_genotypic_value(people: DataFrame, haplotypes: DataFrame, trait, seed:
     """One row: expected and observed mean and variance (population form) of a trait over the people."""
     from .drop import genotypes_of
 
-    own = genotypes_of(haplotypes, ["id"]).join(people.select("id"), "id", "left_semi").withColumn("fam", F.lit(""))
+    # only the loci of the trait become genotypes
+    typed = haplotypes.join(trait.effects.select(*LOCUS).distinct(), LOCUS, "left_semi").join(apart(people.select("id")), "id", "left_semi")
+    own = genotypes_of(typed, ["id"]).withColumn("fam", F.lit(""))
     expected, additive = trait.totals()
     return trait.predict(own, seed).agg(F.lit(expected).alias("expected_mean"), F.lit(additive).alias("expected_variance"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
