@@ -164,15 +164,22 @@ def points_inside(points: DataFrame, segments: DataFrame, on: list[str], point:
     return part.select(*segments.columns, F.explode(whole).alias(point))
 
 
+#: Places of a bucket in a search for the nearest, about.
+HELD = 4096
+
+
 def nearest(probes: DataFrame, markers: DataFrame, on: list[str], probe: str = "pos", marker: str = "bp", index: str = "marker_idx", bucket: int = 100_000) -> DataFrame:
     """Each probe with the index of the nearest marker; of two equally near the left one.
 
-    Two levels, so one chromosome is spread over buckets of ``bucket`` positions: within a bucket, running windows over
-    probes and markers together; the last marker before and the first after each bucket come from the bucket table."""
-    m = markers.select(*on, F.floor(F.col(marker) / bucket).alias("_b"), F.col(marker).alias("_p"), F.lit(1).alias("_o"), F.struct(F.col(marker).alias("p"), F.col(index).alias("i")).alias("_m"))
-    names = [c for c in probes.columns if c not in on]
-    p = probes.select(*on, F.floor(F.col(probe) / bucket).alias("_b"), F.col(probe).alias("_p"), F.lit(2).alias("_o"), F.lit(None).cast(m.schema["_m"].dataType).alias("_m"), F.struct(*names).alias("_x"))
-    both = m.withColumn("_x", F.lit(None).cast(p.schema["_x"].dataType)).unionByName(p)
+    Equal probes are one row until the end. Two levels, so one chromosome is spread over buckets of up to ``bucket`` positions,
+    narrower ones where they would hold more than some thousand rows: within a bucket, running windows over probes and markers
+    together; the last marker before and the first after each bucket come from the bucket table."""
+    m = markers.select(*on, F.col(marker).alias("_p"), F.lit(1).alias("_o"), F.struct(F.col(marker).alias("p"), F.col(index).alias("i")).alias("_m"))
+    p = probes.select(*on, F.col(probe).alias("_p")).filter("_p is not null").distinct().select(*on, "_p", F.lit(2).alias("_o"), F.lit(None).cast(m.schema["_m"].dataType).alias("_m"))
+    both = m.unionByName(p)
+    size = both.groupBy(*on).agg(F.min("_p").cast("double").alias("_from"), F.max("_p").cast("double").alias("_to"), F.ceil(F.count("*") / HELD).alias("_n"))
+    width = F.least(F.lit(float(bucket)), F.greatest(F.lit(1e-9), (F.col("_to") - F.col("_from")) / F.col("_n")))
+    both = both.join(size.select(*on, "_from", width.alias("_width")), on).withColumn("_b", F.floor((F.col("_p") - F.col("_from")) / F.col("_width"))).drop("_from", "_width")
     edge = both.groupBy(*on, "_b").agg(F.min("_m").alias("_first"), F.max("_m").alias("_last"))
     wb = Window.partitionBy(*on).orderBy("_b")
     edge = edge.withColumns(
@@ -187,11 +194,12 @@ def nearest(probes: DataFrame, markers: DataFrame, on: list[str], probe: str = "
             "_l": F.last("_m", ignorenulls=True).over(w.orderBy("_p", "_o").rowsBetween(Window.unboundedPreceding, 0)),
             "_r": F.last("_m", ignorenulls=True).over(w.orderBy(F.col("_p").desc(), F.col("_o")).rowsBetween(Window.unboundedPreceding, 0)),
         }
-    ).filter("_x is not null")
+    ).filter("_o = 2")
     found = local.join(edge, [*on, "_b"])
     left, right = F.coalesce("_l", "_before"), F.coalesce("_r", "_after")
     take_right = left.isNull() | (right.isNotNull() & (right["p"] - F.col("_p") < F.col("_p") - left["p"]))
-    return found.select(*on, *[F.col(f"_x.{n}").alias(n) for n in names], F.when(take_right, right["i"]).otherwise(left["i"]).alias(index))
+    found = found.select(*on, F.col("_p").alias(probe), F.when(take_right, right["i"]).otherwise(left["i"]).alias("_found"))
+    return probes.join(found, [*on, probe]).select(*on, *[c for c in probes.columns if c not in on], F.col("_found").alias(index))
 
 
 def cumsum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "running") -> DataFrame:
