@@ -77,11 +77,13 @@ def read_beagle(spark: SparkSession, genotypes: str, markers: str | None = None,
     whose equal trait rows are one."""
     raw = read_lines(spark, genotypes).filter(F.length(F.trim("value")) > 0).select("file", "line", fields().alias("f"))
     f = F.col("f")
-    cells = raw.select("file", "line", f[0].alias("kind"), f[1].alias("name"), F.posexplode(F.slice(f, 3, F.size(f))).alias("_c", "v")).withColumns({"who": F.floor(F.col("_c") / 2).cast("int"), "hap": (F.col("_c") % 2).cast("int")})
-    people = cells.filter("kind = 'I' and hap = 0").select("file", "who", F.col("v").alias("id"))
-    value = F.when(F.col("kind") == "A", (F.col("v") == "2").cast("double")).otherwise(F.col("v").try_cast("double"))
-    traits = cells.filter("kind in ('A', 'C', 'T') and hap = 0").join(people, ["file", "who"]).select("id", "name", value.alias("value")).distinct()
-    alleles = cells.filter("kind = 'M'").groupBy("file", "line", "name", "who").agg(F.max(F.when(F.col("hap") == 0, F.col("v"))).alias("_a"), F.max(F.when(F.col("hap") == 1, F.col("v"))).alias("_b"))
+    # lines are wide and few: dealt out one by one, their columns paired before they become rows
+    own = raw.repartition("file", "line").select("file", "line", f[0].alias("kind"), f[1].alias("name"), F.slice(f, 3, F.size(f)).alias("_v"))
+    pairs = F.expr("transform(sequence(1, size(_v), 2), i -> struct(_v[i - 1] as a, get(_v, i) as b))")
+    cells = own.filter(F.size("_v") > 0).select("file", "line", "kind", "name", F.posexplode(pairs).alias("who", "_x")).select("file", "line", "kind", "name", "who", "_x.a", "_x.b")
+    people = cells.filter("kind = 'I'").select("file", "who", F.col("a").alias("id"))
+    value = F.when(F.col("kind") == "A", (F.col("a") == "2").cast("double")).otherwise(F.col("a").try_cast("double"))
+    traits = cells.filter("kind in ('A', 'C', 'T')").join(apart(people), ["file", "who"]).select("id", "name", value.alias("value")).distinct()
     clean = lambda c: F.when(F.col(c) != missing, F.col(c))
     out = alleles.join(people, ["file", "who"]).select("id", F.col("name").alias("label"), clean("_a").alias("a0"), clean("_b").alias("a1"))
     if markers:
