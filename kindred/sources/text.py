@@ -28,11 +28,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         return raw.mapInArrow(unpack, "file string, line long, value string")
     raw = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
     # lines that start before a block: the same however the file is split, so a block without a count is an error
-    sizes = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"))
+    sizes = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    first = sizes.select("file", "_b", F.coalesce(before, F.lit(0)).alias("_s"))
-    placed = raw.withColumn("_i", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_m")) - 1).join(first, ["file", "_b"], "left")
-    start = F.coalesce("_s", F.raise_error(F.lit("a file was split anew while its lines were numbered")).cast("long"))
+    first = sizes.select("file", "_b", "_n", "_first", F.coalesce(before, F.lit(0)).alias("_s"))
+    # a block is read in order by one task, so its rows have consecutive ids: no line is moved or sorted, the table of blocks is small
+    placed = raw.join(F.broadcast(first), ["file", "_b"], "left").withColumn("_i", F.col("_m") - F.col("_first"))
+    wrong = F.raise_error(F.lit("a file was split anew while its lines were numbered")).cast("long")
+    start = F.when((F.col("_i") >= 0) & (F.col("_i") < F.col("_n")), F.col("_s")).otherwise(wrong)
     return placed.select("file", (start + F.col("_i")).alias("line"), F.regexp_replace("value", "\\r$", "").alias("value"))
 
 

@@ -45,13 +45,12 @@ def read_vcf(spark: SparkSession, path: str, require_pass: bool = False, frequen
     # chromosomes in order of their first records; they are few, and markers are numbered in two levels
     chroms = records.groupBy("chrom").agg(F.min(F.struct("file", "line")).alias("_at"))
     chroms = chroms.select("chrom", (F.row_number().over(Window.orderBy("_at")) - 1).cast("int").alias("chrom_idx"))
-    numbered = placed(records.select("file", "line", "chrom"), ["chrom"], "marker_idx").join(chroms, "chrom")
-    found = records.join(numbered.select("file", "line", "chrom_idx", "marker_idx"), ["file", "line"])
+    found = placed(records, ["chrom"], "marker_idx").join(chroms, "chrom")
     maf = info_frequency(F.col("info"), frequency_key) if frequency_key else F.lit(None).cast("double")
     markers = found.select("chrom_idx", "chrom", "marker_idx", "label", F.lit(None).cast("double").alias("cm"), "bp", maf.alias("maf"), "ref", "alts")
     gt = F.array_position("format", "GT").cast("int")
     each = found.select("chrom_idx", "marker_idx", gt.alias("_gt"), F.posexplode("samples").alias("_s", "_v"))
-    each = each.select("_s", "chrom_idx", "marker_idx", F.split(F.get(F.split("_v", ":"), F.col("_gt") - 1), "[|/]").alias("_g"))
+    each = each.select("_s", "chrom_idx", "marker_idx", F.split(F.translate(F.get(F.split("_v", ":"), F.col("_gt") - 1), "/", "|"), "\\|").alias("_g"))
     calls = each.select("_s", "chrom_idx", "marker_idx", F.posexplode("_g").alias("hap", "_a")).select("_s", "chrom_idx", "marker_idx", F.col("hap").cast("tinyint").alias("hap"), F.col("_a").try_cast("tinyint").alias("allele"))
     # samples go by position until reference calls are gone; their names are rows of a table, not literals of the plan
     named = spark.createDataFrame(pa.table({"_s": pa.array(range(len(ids)), pa.int32()), "id": pa.array(ids, pa.string())}))
@@ -85,7 +84,7 @@ def read_beagle(spark: SparkSession, genotypes: str, markers: str | None = None,
     value = F.when(F.col("kind") == "A", (F.col("a") == "2").cast("double")).otherwise(F.col("a").try_cast("double"))
     traits = cells.filter("kind in ('A', 'C', 'T')").join(apart(people), ["file", "who"]).select("id", "name", value.alias("value")).distinct()
     clean = lambda c: F.when(F.col(c) != missing, F.col(c))
-    out = alleles.join(people, ["file", "who"]).select("id", F.col("name").alias("label"), clean("_a").alias("a0"), clean("_b").alias("a1"))
+    out = cells.filter("kind = 'M'").join(apart(people), ["file", "who"]).select("id", F.col("name").alias("label"), clean("a").alias("a0"), clean("b").alias("a1"))
     if markers:
         out = out.join(read_beagle_markers(spark, markers).select("label", "marker_idx"), "label")
     return traits, out
