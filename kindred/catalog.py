@@ -17,7 +17,7 @@ from .operators import sgs
 from .simulation import drop as D
 from .simulation import random as R
 from .simulation import trait as Q
-from .plans.tables import shared_dir
+from .plans.tables import apart, shared_dir
 from .sources import pedigrees, variants
 from .stats import lmm
 
@@ -290,7 +290,7 @@ def descendants(s, d):
 
 def _pairs(people):
     """Every ordered pair of a family, everyone with themselves too."""
-    return people.select("fam", F.col("id").alias("id1")).join(people.select("fam", F.col("id").alias("id2")), "fam")
+    return people.select("fam", F.col("id").alias("id1")).join(apart(people.select("fam", F.col("id").alias("id2"))), "fam")
 
 
 @query("common_ancestors", V.sql("""select distinct x.fam, x.id as id1, y.id as id2, x.anc as ancestor from closure x join closure y on x.fam = y.fam and x.anc = y.anc
