@@ -4,12 +4,15 @@ A document is the set of its word shingles, each a 64-bit hash (fixed seeds: shi
 To bring documents that may link into one place, the hash range is cut into so many groups that two sets within the
 threshold must agree in some of them: sets of sizes a <= b link only if at most k = (a + b) (1 - t) / (1 + t) shingles
 are in one of them alone, so of k + 1 + e groups at least e + 1 hold the same shingles in both. The digest of a
-group's shingles is a key; sets that share a key are candidates. Groups of one shingle or none are weak (a common line
-would join strangers): a set with at most e weak groups leaves them out, which keeps one common key for every pair
-that may link. Sizes fall in classes that grow by ``STEP``; a set also takes part in classes above its own that hold a
+group's shingles is a key; sets that share a key are candidates. Sizes fall in classes that grow by ``STEP``; a set also takes part in classes above its own that hold a
 larger partner within reach. Where many sets of one slice of texts share a key, they become candidates of each other
 there and then, and one of them stands for them under the key: a hot group does not meet in one task.
 
+Groups without a shingle, or of a common line, are held by thousands of strangers, whose pairs would grow with the
+square of the texts. So a set leaves out e groups of a class at most: in order of their digests those without a shingle,
+then others by the number of sets under their key. Of the e + 1 groups or more that a linked pair holds in the same way,
+the last in this order is left out by neither, as the e before it would have gone first.
+
 The shingles of a set are also hashed into coordinates; the group counts are its point: ``GROUPS`` coordinates, and
 for sets of more than ``COARSE`` shingles a finer point as well, of one coordinate for every two to four shingles
 (points of different fineness compare after adding coordinates up). The sets under one key (a block; keys with the
@@ -39,7 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, discard, materialise, only, slices, utf8
@@ -52,6 +55,8 @@ STEP, GROUPS, COARSE, LEAF, FANOUT = 1.35, 128, 512, 32, 8
 LEAST_BITS, MOST_BITS, SPREAD = 1 << 20, 1 << 27, 16
 #: Sets that a task remembers; pairs that are tested at a time.
 REMEMBERED, SLAB = 500_000, 1 << 14
+#: Bits of a key that tell its size class.
+CLASS = 0xFE
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
@@ -60,10 +65,12 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Limits:
     """What one task holds at once: sets of a block, and of a chunk of a cluster; bytes of fine points, and shingles, of
-    a chunk. ``hot``: sets of one slice under a key from which one stands for all."""
+    a chunk. ``hot``: sets of one slice under a key from which one stands for all; ``common``: sets under a key up to which
+    no set leaves it out."""
 
     hot: int = 64
     block_sets: int = 8000
+    common: int = 32
     chunk_sets: int = 2500
     fine_bytes: int = 4 << 20
     shingles: int = 2_000_000
@@ -126,12 +133,13 @@ class Keys:
         k = 2 * top * (self.den - self.num) // (self.den + self.num)
         return (k + 2 + k // 8, 1 + k // 8) if k else (1, 0)
 
-    def of(self, s: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, with the number of their class in the bits of ``CLASS``, and how many more keys of its class may be left out."""
         n = len(s)
         while self.classes[-1] <= n * self.den // self.num + 1:
             self.classes.append(max(self.classes[-1] + 1, int(self.classes[-1] * STEP)))
         self.classes += [max(self.classes[-1] + 1, int(self.classes[-1] * STEP))]
-        out = []
+        out, left = [], []
         total = np.r_[_U(0), np.cumsum(mix(s + _U(77)))]
         j = int(np.searchsorted(self.classes, n, side="right")) - 1
         while self.classes[j] * self.num <= n * self.den:
@@ -142,11 +150,14 @@ class Keys:
                 cut = np.r_[np.searchsorted(s, self.edges[m]), n]
                 size = np.diff(cut)
                 digest = mix(total[cut[1:]] - total[cut[:-1]] + np.arange(m, dtype=np.uint64) * _U(0xD1B54A32D192ED03) + _U(j * 0x2545F491))
-                weak = size < 2
-                out.append(digest[~weak] if weak.sum() <= spare else digest)
+                digest = digest & ~_U(CLASS | 1) | _U(j << 1 & CLASS)
+                weak = np.flatnonzero(size == 0)
+                weak = weak[np.argsort(digest[weak])][:spare]
+                out.append(np.delete(digest, weak))
+                left.append(np.full(len(out[-1]), spare - len(weak), np.int32))
             j += 1
         self.classes.pop()
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return (np.concatenate(out), np.concatenate(left)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def places(n: int) -> int:
@@ -319,55 +330,75 @@ def links(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, num: int,
     return out
 
 
-def stand_in(keys: np.ndarray, nodes: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (key, node) of a slice, where the least node stands for the others under keys of ``hot`` nodes or more; rows of
-    an odd key say that its nodes are to be in one cluster untested."""
+def stand_in(keys: np.ndarray, nodes: np.ndarray, left: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (key, node, left) of a slice, where the least node stands for the others under keys of ``hot`` nodes or more;
+    nodes with such a key leave none out, as the keys under which others stand for them do not count; rows of an odd key say that its nodes are to be in one cluster untested."""
     keys = keys & ~_U(1)
     order = np.lexsort((nodes, keys))
-    k, v = keys[order], nodes[order]
+    k, v, e = keys[order], nodes[order], left[order]
     opens = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
     first = np.flatnonzero(opens)
     size = np.diff(np.r_[first, len(k)])
     many = np.repeat(size >= hot, size)
     if not many.any():
-        return keys, nodes
+        return keys, nodes, left
     pairs = np.unique(np.stack([np.repeat(v[first], size)[many], v[many]]), axis=1)
     own = mix(pairs[0].view(_U) ^ mix(np.bitwise_xor.reduce(np.unique(nodes).view(_U))[None] + _U(5))) | _U(1)
     stays = ~many | opens
-    return np.r_[k[stays], own], np.r_[v[stays], pairs[1]]
+    return np.r_[k[stays], own], np.r_[v[stays], pairs[1]], np.r_[np.where(np.isin(v, v[many]), 0, e)[stays], np.zeros(len(own), np.int32)].astype(np.int32)
+
+
+#: Columns of blocks: those of ``common`` sets or more are rows of a key with what their sets may leave out, before they are blocks.
+BLOCKS = "x long, y long, sure boolean, nodes array<long>, key long, lefts array<int>"
+
 
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int, common: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Blocks of two sets or more from rows (key, node, left) sorted by all; x and y stand for the sets of a block. Sets of an
+    odd key, or of one with more than ``most`` sets, are sure: one cluster, untested, in parts that share a set. With
+    ``common`` an even key of more sets than that keeps its name and its sets theirs, in parts that share none."""
 
-def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of two sets or more from rows (key, node) sorted by both; x and y stand for the sets of a block. Sets of an
-    odd key, or of one with more than ``most`` sets, are sure: one cluster, untested, in parts that share a set."""
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
-    def out(k: np.ndarray, v: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
+    def out(k: np.ndarray, v: np.ndarray, e: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
         opens = np.r_[True, k[1:] != k[:-1]]
         first = np.flatnonzero(opens)
         size = np.diff(np.r_[first, len(k)])
         h = v.view(_U)
         x, y = np.add.reduceat(mix(h + _U(1)), first), np.add.reduceat(mix(h ^ _U(0xA5A5A5A5A5A5A5A5)), first)
-        some = size > 1
-        nodes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32)), pa.array(v[np.repeat(some, size)]))
-        sure = (k[first] & 1).astype(bool) | (k[first] == large if large is not None else False)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)), pa.array(y[some].view(np.int64)), pa.array(sure[some]), nodes], names=["x", "y", "sure", "nodes"])
+        odd = (k[first] & 1).astype(bool)
+        again = ~odd & ((size > common) | (k[first] == large if large is not None else False)) if common is not None else np.zeros(len(size), bool)
+        some = (size > 1) | again
+        sure = odd | (k[first] == large if large is not None else False)
+        kept = np.repeat(some, size)
+        named = np.where(again, size, 0)[some]
+        yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)), pa.array(y[some].view(np.int64)), pa.array((sure & ~again)[some]), lists(v[kept], size[some]), pa.array(k[first][some], mask=~again[some]), lists(e[np.repeat(again, size)], named)], names=["x", "y", "sure", "nodes", "key", "lefts"])
 
     k = v = np.zeros(0, np.int64)
+    e = np.zeros(0, np.int32)
     large = None
     for b in batches:
-        k, v = np.r_[k, b.column(0).to_numpy()], np.r_[v, b.column(1).to_numpy()]
+        k, v, e = np.r_[k, b.column(0).to_numpy()], np.r_[v, b.column(1).to_numpy()], np.r_[e, b.column(2).to_numpy()]
         new = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])] if len(k) else np.zeros(0, bool)
-        k, v = k[new], v[new]
+        k, v, e = k[new], v[new], e[new]
         at = int(np.searchsorted(k, k[-1])) if len(k) else 0
         if at:
-            yield from out(k[:at], v[:at], large)
-            k, v = k[at:], v[at:]
+            yield from out(k[:at], v[:at], e[:at], large)
+            k, v, e = k[at:], v[at:], e[at:]
         if len(k) > most:
             large = int(k[0])
-            yield from out(k, v, large)
-            k, v = k[-1:], v[-1:]
+            stop = len(k) - (common is not None and not large & 1)  # the last set opens the next part, or is shared with it
+            yield from out(k[:stop], v[:stop], e[:stop], large)
+            k, v, e = k[-1:], v[-1:], e[-1:]
     if len(k):
-        yield from out(k, v, large)
+        yield from out(k, v, e, large)
+
+
+def without_common(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, left) without those that a set leaves out: of each class the first ``left`` keys, by the sets under them."""
+    counted = rows.groupBy("key").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("node", F.col("key").bitwiseAND(CLASS)).orderBy(F.desc("held"), "key")
+    return rows.join(counted, "key").withColumn("nth", F.row_number().over(order)).filter("nth > left").select("key", "node", "left")
 
 
 def bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[list[tuple[int, int]]]:
@@ -555,7 +586,7 @@ def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: st
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = Keys(num, den), set()
         for b in slices(batches, "_text", 2 << 20):
-            own, found = [], []
+            own, found, left = [], [], []
             for s in shingle_sets(utf8(b.column(0)), k, salt):
                 if len(s):
                     node = digest(s)[0]
@@ -564,20 +595,28 @@ def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: st
                             seen.clear()
                         seen.add(node)
                         own.append(node)
-                        found.append(keys.of(s))
-            flat = np.concatenate(found) if found else np.zeros(0, _U)
+                        for x, to in zip(keys.of(s), (found, left), strict=True):
+                            to.append(x)
+            flat, lefts = (np.concatenate(found), np.concatenate(left)) if found else (np.zeros(0, _U), np.zeros(0, np.int32))
             nodes = np.repeat(np.array(own, np.int64), [len(f) for f in found]) if own else np.zeros(0, np.int64)
-            flat, nodes = stand_in(flat, nodes, limits.hot)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(nodes)], names=["key", "node"])
-
-    # keys of two sets or more; the same sets under several keys are one block
-    keyed = docs.select("_text").mapInArrow(send_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    blocks = materialise(keyed.mapInArrow(lambda batches: blocks_of(batches, limits.block_sets), "x long, y long, sure boolean, nodes array<long>"), "blocks")
+            flat, nodes, lefts = stand_in(flat, nodes, lefts, limits.hot)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(nodes), pa.array(lefts)], names=["key", "node", "left"])
+
+    def blocked(rows: DataFrame, common: int | None) -> DataFrame:
+        dealt = rows.repartition("key").sortWithinPartitions("key", "node", "left")
+        return dealt.mapInArrow(lambda batches: blocks_of(batches, limits.block_sets, common), BLOCKS)
+
+    # keys of two sets or more; common ones again, without the sets that leave them out; the same sets under several keys are one block
+    keyed = docs.select("_text").mapInArrow(send_keys, "key long, node long, left int")
+    first = materialise(blocked(keyed, limits.common), "blocks")
+    shared = first.filter("key is not null").select("key", F.explode(F.arrays_zip("nodes", "lefts")).alias("z")).select("key", F.col("z.nodes").alias("node"), F.col("z.lefts").alias("left"))
+    again = materialise(blocked(without_common(shared), None), "blocks")
+    blocks = first.filter("key is null").unionByName(again)
     sure = blocks.filter("sure").select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")).filter("a <> b")
     member = blocks.filter("not sure").dropDuplicates(["x", "y"]).select("x", "y", F.explode("nodes").alias("node"))
     pointed = member.join(sets.select("node", "n", "point"), "node").select("x", "y", "node", "n", "point").repartition("x", "y").sortWithinPartitions("x", "y")
     near = materialise(pointed.mapInArrow(lambda batches: pairs_out(bounded(batches, num, den)), "a long, b long").unionByName(sure), "near")
-    discard(blocks)
+    discard(first, again)
     clusters = components(near).join(sets.select("node", "n", "fine", "of"), "node").withColumnRenamed("label", "cluster")
     clusters = materialise(clusters, "clusters")
     discard(near)
